@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, packing
-from .common import utf8  # noqa: F401
+from . import ann, chat, decontam, langid, line_dedup, lm_score, packing, simhash, warc
+from .common import hex64, new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,59 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_packing, op8_decontamination)}
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    warc.write_captures(table(spark, sf_dir, "pages"), path, least=100)
+    records = warc.read_records(spark, path)
+    # the digests are taken of what was read; a revisit's are those that its headers state
+    full = F.col("type") != "revisit"
+    stated = F.regexp_extract("http_header", r"(?i)content-length: *(\d+)", 1).cast("long")
+    records = records.select(
+        "record_id", "type", "concurrent_to", "refers_to",
+        F.when(full, F.octet_length("payload").cast("long")).otherwise(stated).alias("payload_bytes"),
+        F.when(full, F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("digest"),
+        F.when(F.col("type") == "metadata", F.col("payload").cast("string")).alias("fields"),
+    )
+    source = F.regexp_extract(F.get("metadata", F.lit(0))["fields"], r"(?m)^source-id: (-?\d+)", 1)
+    captures = warc.assemble(records).withColumn("page_id", F.when(source != "", source.cast("long")))
+    captures = warc.resolved(captures, F.col("page_id"), "refers_to")
+    return captures.select("page_id", F.col("answer.payload_bytes").alias("payload_bytes"), F.col("answer.digest").alias("payload_digest"), F.col("answer.type").alias("record_type"), "refers_to")
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    out = lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+    return out.select("doc_id", "n_tokens", "loss_target", "loss_background", "lm_score")
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = "\\### Assistant: </turn> ok"
+    extra = spark.sql("SELECT -7L AS conv_id, explode(array(0L, 1L)) AS turn").select("conv_id", "turn", F.when(F.col("turn") == 0, "user").otherwise("assistant").alias("role"), F.lit(planted).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat.conversations(chat.as_replies(rows), top=1)
+    turns = chat.parsed(F.col("formatted"))
+    out = out.select(F.col("tree.conv").alias("conv_id"), "formatted", turns.alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    digest = F.sha2(F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))), 256)
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest.alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", hex64(F.col("fingerprint")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.filter(langid.fold(F.col("doc_id")) != 0).select("text", "lang"))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (langid.fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 20 == 0, k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op4_lm_scoring, op5_chat, op6_packing, op7_simhash, op8_decontamination, op9_language_id, op10_nearest_neighbours)}
 
 ORACLE_SQL = {
     "op2_line_dedup": r"""
@@ -63,4 +115,21 @@ t AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(s, ',' ORDER BY s)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op1_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)""",
+    "op5_chat": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(text, chr(92), chr(92) || 'b'), '### ', chr(92) || 'h## '), '</turn>', chr(92) || 's/turn>') AS x,
+             replace(replace(replace(replace(role, chr(92), chr(92) || 'b'), '### ', chr(92) || 'h## '), '</turn>', chr(92) || 's/turn>'), ': ', chr(92) || 'c ') AS r FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(x) + length(r) + 14)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
 }
