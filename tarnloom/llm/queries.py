@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, line_dedup, lm_score, packing, simhash, warc
+from . import ann, chat, decontam, langid, line_dedup, lm_score, packing, simhash, suffix_dedup, warc
 from .common import hex64, new_path
 
 
@@ -54,6 +54,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select("page_id", F.col("answer.payload_bytes").alias("payload_bytes"), F.col("answer.digest").alias("payload_digest"), F.col("answer.type").alias("record_type"), "refers_to")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     out = lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
@@ -87,7 +92,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 20 == 0, k=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op4_lm_scoring, op5_chat, op6_packing, op7_simhash, op8_decontamination, op9_language_id, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_suffix_dedup, op4_lm_scoring, op5_chat, op6_packing, op7_simhash, op8_decontamination, op9_language_id, op10_nearest_neighbours)}
 
 ORACLE_SQL = {
     "op2_line_dedup": r"""
@@ -101,6 +106,20 @@ f AS (SELECT k FROM l WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(f.k)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN f ON l.k = f.k GROUP BY doc_id""",
+    "op3_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS m FROM p WHERE 2 * i + 200 <= length(h)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+c AS (SELECT p.doc_id, p.i, substr(h, 2 * p.i + 1, 2) AS b,
+             coalesce(p.i - max(later.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS UNBOUNDED PRECEDING) < 100, false) AS gone
+      FROM p LEFT JOIN later ON p.doc_id = later.doc_id AND p.i = later.i),
+r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM c),
+s AS (SELECT doc_id, count(*)::BIGINT AS n_bytes, count(*) FILTER (WHERE gone)::BIGINT AS n_removed, count(*) FILTER (WHERE head)::BIGINT AS n_spans,
+             sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone), ''))) AS kept_sha256 FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)""",
     "op8_decontamination": r"""
 WITH lo AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS v),
 i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), u, v), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, lo),
