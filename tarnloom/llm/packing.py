@@ -9,13 +9,14 @@ asked for.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,54 +24,54 @@ from pyspark.sql import types as T
 
 from .common import staged
 
-#: The byte-level BPE's way to cut a text into pieces that are encoded each on its own (fixed value, of the public vocabulary).
+#: The byte-level BPE's way to cut a text into pieces that are merged each on its own (fixed value, of the public vocabulary).
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Characters for which the regex library and the tokenizer's own tables are known to agree; texts with others go to the tokenizer whole.
+#: Other characters than these (letters and signs up to U+024F and general punctuation, which all libraries class alike), or a
+#: special token's beginning: such texts are encoded by the tokenizer itself.
 _ODD = re.compile("[^\\t-\\r -~¡-ɏ‐-‧]|<\\|")
-#: Pieces remembered by each Python worker.
-CACHED = 500_000
 
 
-class Encoder:
-    """A tokenizer that remembers the ids of pieces. Same ids as tokenizers' encode(text, add_special_tokens=False)."""
+def byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """A byte-level BPE's tokens as bytes, by id; None unless it is one whose merges stand in the order of ids."""
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # stand for themselves; the other bytes follow from U+0100
+    back = {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ids = [model["vocab"][a + b] for a, b in pairs]
+    special = {t["content"] for t in spec["added_tokens"]}
+    if ids != sorted(ids) or len(set(ids)) != len(ids) or max((model["vocab"][c] for c in back), default=0) > min(ids, default=256):
+        return None
+    return {bytes(back[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.find = regex.compile(PIECES).findall
-        self._forget()
+class Encoder:
+    """The ids that tokenizers' encode(text, add_special_tokens=False) gives.
 
-    def _forget(self) -> None:
-        self.flat: list[int] = []
-        self.begin: list[int] = [0]
-        encoder = self
+    For a byte-level BPE, texts of common characters are merged by tiktoken from the same vocabulary, five times as fast.
+    """
 
-        class Known(dict):
-            def __missing__(self, piece: str) -> int:
-                encoder.flat += encoder.tokenizer.encode(piece, add_special_tokens=False).ids
-                encoder.begin.append(len(encoder.flat))
-                self[piece] = at = len(encoder.begin) - 2
-                return at
+    def __init__(self, path: str):
+        import tiktoken
+        from tokenizers import Tokenizer
 
-        self.known = Known()
-        self.tables = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        self.tokenizer = Tokenizer.from_str(text)
+        ranks = byte_ranks(json.loads(text))
+        self.fast = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
     def ids(self, text: str) -> np.ndarray:
-        if _ODD.search(text):
+        if self.fast is None or _ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        if len(self.known) > CACHED:
-            self._forget()
-        pieces = self.find(text)
-        code = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        if len(self.tables[1]) != len(self.begin) - 1:
-            at = np.array(self.begin, np.int64)
-            self.tables = np.array(self.flat, np.uint32), at[:-1], np.diff(at)
-        flat, begin, count = self.tables
-        n = count[code]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        return flat[np.arange(total) + np.repeat(begin[code] - ends + n, n)]
+        return np.array(self.fast.encode_ordinary(text), np.uint32)
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,12 +85,12 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "d
     schema = T.StructType([kind, T.StructField("part", T.IntegerType()), T.StructField("start_in_part", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, at = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 some = batch.slice(begin, 512)
-                ids = [encoder.ids(x or "").astype("<u4").tobytes() + last for x in some.column(1).to_pylist()]
+                ids = [x.astype("<u4").tobytes() + last for x in map(encoder.ids, (x or "" for x in some.column(1).to_pylist()))]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
