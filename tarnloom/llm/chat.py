@@ -45,28 +45,30 @@ def branches(messages: DataFrame, top: int | None = None) -> DataFrame:
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
     # up: the ancestor so many replies above (null beyond the root); root: the last one seen; depth and total on the way
     base = nodes.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("up"), "score")
-    level = staged(base.select("node", "up", F.coalesce("up", "node").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("score").alias("total")), "level", into=paths)
-    levels = [level]
-    before = level.filter(F.col("up").isNotNull()).count()
-    while before:
-        above = level.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        joined = level.join(above, "up", "left")
-        level = staged(joined.select("node", F.col("up2").alias("up"), F.coalesce("root2", "root").alias("root"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")), "level", into=paths)
-        levels.append(level)
-        left = level.filter(F.col("up").isNotNull()).count()
+    first = base.select("node", "up", F.coalesce("up", "node").alias("root"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("score").alias("total"))
+    first = staged(first, "level", into=paths)
+    done, active = first.filter(F.col("up").isNull()), first.filter(F.col("up").isNotNull())
+    steps = []
+    before = active.count()
+    while before:  # only messages that have not reached their root are joined again
+        steps.append(active.select("node", "up"))
+        above = done.unionByName(active).select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        joined = active.join(above, "up").select("node", F.col("up2").alias("up"), F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total"))
+        level = staged(joined, "level", into=paths)
+        done, active = done.unionByName(level.filter(F.col("up").isNull())), level.filter(F.col("up").isNotNull())
+        left = active.count()
         if left == before:  # only cycles are left: they never reach a root
             break
         before = left
     answered = base.filter(F.col("up").isNotNull()).select(F.col("up").alias("node")).distinct()
-    leaves = level.filter(F.col("up").isNull()).join(answered, "node", "left_anti")
+    leaves = done.join(answered, "node", "left_anti")
     mean = F.col("total") / (F.col("depth") + 1)
     ranked = leaves.select(F.col("root").alias("tree"), F.col("node").alias("branch"), F.row_number().over(Window.partitionBy("root").orderBy(mean.desc(), "node")).alias("rank"), "depth")
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
     path = ranked.select("tree", "branch", "rank", "depth", F.col("branch").alias("node"))
     # each table doubles the messages known of a path: from the largest step down to the parent
-    for k in reversed(range(len(levels) - 1)):
-        step = levels[k].filter(F.col("up").isNotNull()).select("node", "up")
+    for k, step in reversed(list(enumerate(steps))):
         more = path.join(step, "node").select("tree", "branch", "rank", (F.col("depth") - F.lit(1 << k)).alias("depth"), F.col("up").alias("node"))
         path = path.unionByName(more)
         if k % 2 == 0 and k:
