@@ -1 +1,27 @@
-"""plans of the registry engine."""
+"""Plan choices that Catalyst cannot make by itself."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from ..functions import codes
+from ..operators import similar
+
+#: Candidate rows that brute force may compare; beyond, bands are cheaper where they are exact with few probes.
+BRUTE_PAIRS = 50_000_000
+
+
+def hamming_plan(n_queries: int, n_entries: int, radius: int, bands: int = similar.BANDS) -> str:
+    """"brute" or "bands": few comparisons, or a radius that needs so many probes that banding meets more rows, are brute."""
+    probe = codes.exact_probe(radius, bands)
+    width = 64 // bands
+    masks = len(codes.probe_masks(width, min(probe, 3)))
+    met = n_queries * n_entries * bands * masks / 2 ** min(width, 62)
+    return "brute" if n_queries * n_entries <= BRUTE_PAIRS or met >= n_queries * n_entries else "bands"
+
+
+def hamming(queries: DataFrame, entries: DataFrame, radius: int, n_queries: int, n_entries: int) -> DataFrame:
+    """The exact join within a radius, by the cheaper plan."""
+    if hamming_plan(n_queries, n_entries, radius) == "brute":
+        return similar.brute_force(queries, entries, radius).select("query_key", "key", "query_code", "content_code", "distance")
+    return similar.hamming_join(queries, entries, radius)
