@@ -43,7 +43,7 @@ def decode(text: Column) -> Column:
 def encode(code: Column, subtype: int = 0) -> Column:
     """A bare content unit of 64 bits with this code."""
     head = format(CONTENT << 4 | subtype, "08b") + "00000001"
-    bits = F.concat(F.lit(head), F.lpad(F.conv(code.cast("string"), 10, 2), 64, "0"))
+    bits = F.concat(F.lit(head), F.lpad(F.conv(F.hex(code), 16, 2), 64, "0"))
     letter = lambda i: F.substr(F.lit(_ALPHABET), F.conv(F.substr(bits, i * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
     return F.concat(F.lit("ISCC:"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), letter), ""))
 

@@ -41,7 +41,7 @@ WITH rec AS (
         FROM documents))
 """
 EV = f"""
-WITH ev AS (SELECT event_id AS seq, user_id::VARCHAR || ':' || event_type AS key, sha256(props) AS content_hash, octet_length(encode(props))::BIGINT AS size, epoch_ms(ts)::BIGINT AS created_ms FROM events),
+WITH ev AS (SELECT event_id AS seq, user_id::VARCHAR || ':' || event_type AS key, sha256(props) AS content_hash, octet_length(encode(props))::BIGINT AS size, (epoch_us(ts) // 1000)::BIGINT AS created_ms FROM events),
 o AS (SELECT *, CASE WHEN first_seq = seq THEN 'queued' WHEN first_hash = content_hash THEN 'duplicate' ELSE 'conflict' END AS outcome
       FROM (SELECT *, first_value(seq) OVER w AS first_seq, first_value(content_hash) OVER w AS first_hash FROM ev WINDOW w AS (PARTITION BY key ORDER BY seq)))
 """
@@ -91,7 +91,7 @@ def partition_classes(spark, d):
     return summary.partition_classes(reads)
 
 
-@query("""WITH s AS (SELECT event_type AS series, epoch_ms(ts)::BIGINT AS at_ms, count(*)::BIGINT AS n FROM events GROUP BY ALL), t AS (SELECT series, at_ms, (sum(n) OVER (PARTITION BY series ORDER BY at_ms))::BIGINT AS total FROM s),
+@query("""WITH s AS (SELECT event_type AS series, (epoch_us(ts) // 1000)::BIGINT AS at_ms, count(*)::BIGINT AS n FROM events GROUP BY ALL), t AS (SELECT series, at_ms, (sum(n) OVER (PARTITION BY series ORDER BY at_ms))::BIGINT AS total FROM s),
 r AS (SELECT *, list_filter(list(struct_pack(a := at_ms, t := total)) OVER (PARTITION BY series ORDER BY at_ms ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), lambda x: x.a >= at_ms - 60000)[1] AS o FROM t)
 SELECT series, at_ms, total, round(CASE WHEN at_ms - o.a >= 3000 AND total > o.t THEN (total - o.t) * 1000.0 / (at_ms - o.a) ELSE 0 END, 6)::DOUBLE AS rate FROM r""")
 def ingest_rate(spark, d):
@@ -118,7 +118,7 @@ def key_partition_path(spark, d):
 
 
 @query(REC + """, k AS (SELECT seq, CASE seq % 5 WHEN 0 THEN key WHEN 1 THEN 'bbqjca' || repeat('a', 51) WHEN 2 THEN 'bbqjcc' || repeat('a', 51) WHEN 3 THEN upper(key) ELSE 'no key' END AS key, size FROM rec)
-SELECT seq, regexp_matches(key, '^bbqjc[ab][a-z2-7]{51}$') AS legacy, seq % 5 IN (0, 1) AS valid, CASE WHEN seq % 5 IN (0, 1) THEN CASE WHEN size > 1000 THEN 'value_too_large' END ELSE 'invalid_key' END AS error FROM k""")
+SELECT seq, regexp_matches(key, '^bbqjc[ab][a-z2-7]{51}$') AS legacy, seq % 5 IN (0, 1, 3) AS valid, CASE WHEN seq % 5 IN (0, 1, 3) THEN CASE WHEN size > 1000 THEN 'value_too_large' END ELSE 'invalid_key' END AS error FROM k""")
 def key_filter(spark, d):
     n = F.col("seq") % 5
     key = F.when(n == 0, F.col("key")).when(n == 1, F.lit("bbqjca" + "a" * 51)).when(n == 2, F.lit("bbqjcc" + "a" * 51)).when(n == 3, F.upper("key")).otherwise("no key")
