@@ -8,8 +8,9 @@ of each at a time.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,15 @@ SCRIPTS = (
     (0x1200, "Ethiopic"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x3040, "Kana"), (0x3400, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"),
     (0xF900, "Han"), (0xFB00, "Other"), (0xFF21, "Latin"), (0xFF66, "Kana"), (0xFFA0, "Hangul"), (0x10000, "Other"), (0x20000, "Han"),
 )
-_STARTS = np.array([a for a, _ in SCRIPTS])
+_STARTS = [a for a, _ in SCRIPTS]
 _WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-GRAMS = (1, 2, 3, 4)
+GRAMS = (2, 3)
 
 
 def script(word: str) -> str:
     """The script of a word's first letter."""
-    return SCRIPTS[max(0, int(np.searchsorted(_STARTS, ord(word[0]), "right")) - 1)][1]
+    return SCRIPTS[max(0, bisect_right(_STARTS, ord(word[0])) - 1)][1]
 
 
 def grams(word: str) -> list[str]:
@@ -55,30 +56,40 @@ class Model:
         counts = np.array([table[g] for g in sorted(table)], float).reshape(len(table), len(langs))
         total = counts.sum(axis=0) + smooth * (len(table) + 1)
         self.rows = {g: i for i, g in enumerate(sorted(table))}
-        self.log = np.log((counts + smooth) / total)
-        self.unseen = np.log(smooth / total)
+        self.log = np.log(np.vstack([counts + smooth, np.full(len(langs), smooth)]) / total)  # the last row: n-grams not seen
         letters = Counter()
         for (lang, _), n in scripts.items():
             letters[lang] += n
-        self.allowed = {s: np.array([scripts.get((x, s), 0) >= least_share * max(1, letters[x]) for x in langs]) for s in {s for _, s in scripts}}
-
-    def word(self, word: str) -> np.ndarray:
-        """Each language's log posterior for a word (equal priors), not under -12; zeros if its script is unknown."""
-        allowed = self.allowed.get(script(word))
-        if allowed is None or not allowed.any():
-            return np.zeros(len(self.langs))
-        s = sum((self.log[self.rows[g]] if g in self.rows else self.unseen for g in grams(word)), np.zeros(len(self.langs)))
-        s = np.where(allowed, s, -1e9)
-        return np.maximum(s - s.max() - np.log(np.exp(s - s.max()).sum()), -12.0)
+        self.scripts = {s: i for i, s in enumerate(sorted({s for _, s in scripts}))}
+        self.allowed = np.array([[scripts.get((x, s), 0) >= least_share * max(1, letters[x]) for x in langs] for s in sorted(self.scripts)] + [[False] * len(langs)])
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Each language's log posterior (equal priors) for each word, not under -12; zeros where the script is unknown."""
+        if not words:
+            return np.zeros((0, len(self.langs)))
+        get, unseen = self.rows.get, len(self.rows)
+        each = [grams(w) for w in words]
+        at = np.fromiter((get(g, unseen) for gs in each for g in gs), np.int32)
+        n = np.array([len(gs) for gs in each], np.int64)
+        allowed = self.allowed[[self.scripts.get(script(w), -1) for w in words]]
+        s = np.where(allowed, np.add.reduceat(self.log[at], np.cumsum(n) - n), -1e9)
+        s -= s.max(axis=1)[:, None]
+        s -= np.log(np.exp(s).sum(axis=1))[:, None]
+        return np.where(allowed.any(axis=1)[:, None], np.maximum(s, -12.0), 0.0)
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 3000, max_grams: int = 30_000) -> Model | None:
-    """Fit on max_docs labelled rows at most (those with the smallest hash of their text, whole) and keep the max_grams most frequent n-grams.
+    """Fit on max_docs labelled rows at most and keep the max_grams most frequent n-grams.
+
+    The rows are those with the smallest hashes of their text, whole; a threshold that about twice as many rows pass keeps
+    all others where they are.
 
     Rows with null text or language are not used. None if nothing is left to learn from.
     """
     some = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    some = some.withColumn("h", F.xxhash64("text", "lang")).orderBy("h").limit(max_docs).drop("h")
+    share = min(1.0, 2 * max_docs / max(1, some.count()))
+    hashed = some.withColumn("h", F.xxhash64("text", "lang"))
+    some = hashed.filter(F.col("h") <= round(-(1 << 63) + share * ((1 << 64) - 1025))).orderBy("h").limit(max_docs).drop("h")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -117,16 +128,12 @@ class Decoder:
         self._forget()
 
     def _forget(self) -> None:
-        decoder = self
-        self.vectors: list[np.ndarray] = []
-        self.sizes: list[int] = []
+        new = self.new = []
 
         class Known(dict):
             def __missing__(self, word: str) -> int:
-                self[word] = at = len(decoder.vectors)
-                letters = sum(map(str.isalpha, word))
-                decoder.vectors.append(decoder.model.word(word) if letters else np.zeros(len(decoder.model.langs)))
-                decoder.sizes.append(letters)
+                self[word] = at = len(self)
+                new.append(word)
                 return at
 
         self.known = Known()
@@ -136,10 +143,18 @@ class Decoder:
         words = _WORD.findall(text.lower())
         return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
 
+    def _learn_words(self) -> None:
+        """Score the words that codes() has met for the first time."""
+        if self.new:
+            letters = np.array([sum(map(str.isalpha, w)) for w in self.new], np.int64)
+            scores = np.vstack([self.model.words(self.new[i : i + 20_000]) for i in range(0, len(self.new), 20_000)])
+            scores[letters == 0] = 0
+            self.scores, self.letters = np.vstack([self.scores, scores]), np.append(self.letters, letters)
+            self.new.clear()
+
     def labels(self, docs: list[np.ndarray]) -> list[np.ndarray]:
         """The language of each word of each document: the path with the largest sum of scores less penalties."""
-        if len(self.scores) != len(self.vectors):
-            self.scores, self.letters = np.array(self.vectors), np.array(self.sizes, np.int64)
+        self._learn_words()
         n = np.array([len(d) for d in docs], np.int64)
         order = np.argsort(-n, kind="stable")
         begin = np.cumsum(n[order]) - n[order]
@@ -176,10 +191,21 @@ class Decoder:
         return out
 
     def trim(self) -> None:
-        if len(self.vectors) > 400_000:
+        if len(self.known) > 400_000:
             self._forget()
 
 
+_decoders: dict[tuple, Decoder] = {}
+
+
+def decoder_of(key: tuple, model: Callable[[], Model], penalty: float) -> Decoder:
+    """One decoder for all tasks of a Python worker that have the same key."""
+    if key not in _decoders:
+        _decoders.clear()
+        _decoders[key] = Decoder(model(), penalty)
+    return _decoders[key]
+
+
 def identify(docs: DataFrame, model: Model | None, penalty: float = 8.0, spans: bool = False, text_col: str = "text") -> DataFrame:
     """docs plus lang_pred and score, and with spans also lang_spans (array of begin, end, lang in code points).
 
@@ -191,14 +217,12 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = 8.0, spans:
     span_type = T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *[T.StructField("lang_spans", T.ArrayType(span_type))] * spans]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    state: dict = {}
+    key = (docs.sparkSession.sparkContext.applicationId, sent._jbroadcast.id(), penalty)
 
     def run(batch: pa.RecordBatch) -> list:
         if sent.value is None:
             return [[UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, *[[[]] * batch.num_rows] * spans]
-        if not state:
-            state["decoder"] = Decoder(sent.value, penalty)
-        decoder = state["decoder"]
+        decoder = decoder_of(key, lambda: sent.value, penalty)
         decoder.trim()
         column = batch.column(text_col)
         codes = [decoder.codes(x.as_py() or "") for x in column]

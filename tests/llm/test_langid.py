@@ -40,7 +40,7 @@ def test_decoding_against_all_paths(spark):
     words = "the le chien fox дом dog sous".split()
     docs = [decoder.codes(" ".join(words[:n])) for n in (0, 7, 3, 1, 7)]
     for codes, label in zip(docs, decoder.labels(docs)):
-        s = [m.word(w) for w in words[: len(codes)]]
+        s = m.words(words)[: len(codes)]
         value = lambda path: sum(s[t][x] for t, x in enumerate(path)) - 2.0 * sum(a != b for a, b in zip(path, path[1:]))  # noqa: B023, E731
         best = max(map(value, itertools.product(range(3), repeat=len(codes))))
         assert np.isclose(value(label.tolist()), best)
