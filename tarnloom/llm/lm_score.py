@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, fresh
+from .common import add_columns, fresh, remove, staged
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -30,7 +30,11 @@ def words(text: str) -> list[str]:
 
 
 def vocabulary(docs: DataFrame, size: int, text_col: str = "text") -> list[str]:
-    """The `size` most frequent words of all rows (ties: by word)."""
+    """The words that are more frequent than the (size + 1)-th: `size` at most, as words tied with that one are left out.
+
+    The border is found from a histogram of counts by eighths of powers of two, then of the exact counts in one of them, so
+    that only the histograms and the vocabulary reach the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -45,8 +49,22 @@ def vocabulary(docs: DataFrame, size: int, text_col: str = "text") -> list[str]:
                     found = Counter()
         yield out()
 
+    paths: list[str] = []
     counts = docs.select(text_col).mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return [r.w for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()]
+    counts = staged(counts.withColumn("eighth", F.floor(8 * F.log2("n")).cast("int")), "words", into=paths)
+    least, room = 1, size
+    for r in counts.groupBy("eighth").count().orderBy(F.desc("eighth")).collect():
+        if r["count"] > room:
+            for x in counts.filter(F.col("eighth") == r.eighth).groupBy("n").count().orderBy(F.desc("n")).collect():
+                room -= x["count"]
+                if room < 0:
+                    least = x.n + 1
+                    break
+            break
+        room -= r["count"]
+    words_ = sorted((-r.n, r.w) for r in counts.filter(F.col("n") >= least).select("w", "n").collect())
+    remove(docs.sparkSession, *paths)
+    return [w for _, w in words_]
 
 
 class Space:
@@ -143,7 +161,8 @@ def score(docs: DataFrame, target_ids: DataFrame, vocab_size: int = 65_536, buck
     vocab = vocabulary(docs, vocab_size, text_col)
     flag = fresh(docs, "is_target")
     ids = target_ids.select(F.col(target_ids.columns[0]).alias(id_col)).distinct().withColumn(flag, F.lit(True))
-    models = fit(docs.select(id_col, text_col).join(ids, id_col, "left"), flag, vocab, bucket_bits, weight, text_col)
+    # ids grow as the documents do, so they are never broadcast
+    models = fit(docs.select(id_col, text_col).join(ids.hint("merge"), id_col, "left"), flag, vocab, bucket_bits, weight, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batch: pa.RecordBatch) -> list:

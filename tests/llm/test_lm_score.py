@@ -33,7 +33,9 @@ def test_against_brute_force(spark):
     good = spark.createDataFrame([(1,), (1,), (6,), (None,), (99,)], "doc_id long")
     got = lm_score.score(docs, good, vocab_size=5, bucket_bits=6, weight=2.0).collect()
     counts = Counter(w for _, t in ROWS for w in lm_score.words(t or ""))
-    vocab = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:5]]
+    ranked = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    vocab = [w for w, n in ranked if n > ranked[5][1]]
+    assert 0 < len(vocab) <= 5 and lm_score.vocabulary(docs, 5) == vocab and lm_score.vocabulary(docs, 99) == [w for w, _ in ranked]
     want = brute(ROWS, {1, 6}, vocab, lm_score.Space(vocab, 6), 2.0)
     key = lambda r: (str(r[0]), r[1], r[2] or 0)
     for g, w in zip(sorted(map(tuple, (r[0:1] + r[2:] for r in got)), key=key), sorted(want, key=key), strict=True):
