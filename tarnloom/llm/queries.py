@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, decontam, langid, line_dedup, lm_score, packing, simhash, suffix_dedup, warc
-from .common import hex64, new_path
+from .common import hex64, new_path, staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,10 +48,14 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(full, F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("digest"),
         F.when(F.col("type") == "metadata", F.col("payload").cast("string")).alias("fields"),
     )
+    records = staged(records, "records")
     source = F.regexp_extract(F.get("metadata", F.lit(0))["fields"], r"(?m)^source-id: (-?\d+)", 1)
-    captures = warc.assemble(records).withColumn("page_id", F.when(source != "", source.cast("long")))
-    captures = warc.resolved(captures, F.col("page_id"), "refers_to")
-    return captures.select("page_id", F.col("answer.payload_bytes").alias("payload_bytes"), F.col("answer.digest").alias("payload_digest"), F.col("answer.type").alias("record_type"), "refers_to")
+    captures = warc.assemble(records).select(
+        "capture_id", F.when(source != "", source.cast("long")).alias("page_id"), F.col("answer.payload_bytes").alias("payload_bytes"), F.col("answer.digest").alias("payload_digest"),
+        F.col("answer.type").alias("record_type"), F.col("answer.refers_to").alias("target"),
+    )
+    captures = warc.resolved(staged(captures, "captures"), F.col("target"), F.col("page_id"), "refers_to")
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,17 +49,21 @@ def write_captures(pages: DataFrame, path: str, least: int = 100, date: str = "2
     and payload are one capture: their records have the same ids.
     """
     text = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text.alias("body"), F.sha2(text, 256).alias("digest"), F.octet_length(text).alias("bytes"))
+    named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text.alias("body")).withColumns({"digest": F.sha2("body", 256), "bytes": F.octet_length("body")})
+    named = named.withColumn("own", urn(F.lit("answer"), F.col("id"), F.col("url"), F.col("digest")))
+    # who revisits whom is found without the payloads, which are then dealt out once, by their record ids
+    narrow = named.select("id", "url", "digest", "bytes", "own").filter(F.col("bytes") >= least)
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("url").alias("url"))
-    groups = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(groups, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~(F.col("id").eqNullSafe(F.col("first.id")))
-    answer = lambda i, u: urn(F.lit("answer"), i, u, F.col("digest"))
-    own, http = answer(F.col("id"), F.col("url")), F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
+    groups = narrow.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = narrow.join(groups, "digest").filter(~F.col("id").eqNullSafe(F.col("first.id")))
+    again = again.select("own", urn(F.lit("answer"), F.col("first.id"), F.col("first.url"), F.col("digest")).alias("target")).distinct()
+    rows = named.repartition(F.col("own")).join(again, "own", "left")
+    revisit, own = F.col("target").isNotNull(), F.col("own")
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     common = [_header("WARC-Target-URI", F.col("url")), _header("WARC-Date", F.lit(date))]
     first = _record(
         F.when(revisit, "revisit").otherwise("response"), own,
-        [*common, _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), _header("WARC-Refers-To", F.when(revisit, answer(F.col("first.id"), F.col("first.url")))),
+        [*common, _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), _header("WARC-Refers-To", F.col("target")),
          _header("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), _header("Content-Type", F.lit("application/http;msgtype=response"))],
         F.concat(http, F.when(revisit, "").otherwise(F.col("body"))),
     )
@@ -67,8 +71,8 @@ def write_captures(pages: DataFrame, path: str, least: int = 100, date: str = "2
     host, place = F.regexp_extract(clean, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.regexp_extract(clean, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
     request = _record(F.lit("request"), urn(F.lit("request"), F.col("id"), F.col("url"), F.col("digest")), [*common, _header("WARC-Concurrent-To", own), _header("Content-Type", F.lit("application/http;msgtype=request"))], F.concat(F.lit("GET "), F.when(place == "", "/").otherwise(place), F.lit(f" HTTP/1.1{CRLF}Host: "), host, F.lit(CRLF * 2)))
     metadata = _record(F.lit("metadata"), urn(F.lit("metadata"), F.col("id"), F.col("url"), F.col("digest")), [*common, _header("WARC-Concurrent-To", own), _header("Content-Type", F.lit("application/warc-fields"))], _header("source-id", F.col("id").cast("string")))
-    lines = rows.hint("rebalance", "id").select(F.concat_ws(CRLF * 2, first, request, metadata).alias("value"))
-    lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    lines = rows.select(F.concat_ws(CRLF * 2, first, request, metadata).alias("value"))
+    lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def parse(content: bytes) -> Iterator[dict]:
@@ -151,7 +155,11 @@ def assemble(records: DataFrame, hops: int = 2) -> DataFrame:
     return principal.join(grouped, "capture_id", "left")
 
 
-def resolved(captures: DataFrame, key: Column, name: str) -> DataFrame:
-    """captures plus, for revisits, the key of the capture that WARC-Refers-To names, as column `name`."""
-    known = captures.select(F.col("capture_id").alias("refers_to_id"), key.alias(name))
-    return captures.withColumn("refers_to_id", F.col("answer.refers_to")).join(known, "refers_to_id", "left").drop("refers_to_id")
+def resolved(captures: DataFrame, refers_to: Column, key: Column, name: str) -> DataFrame:
+    """captures plus, for revisits, the key of the capture that their refers_to names, as column `name`.
+
+    Only revisits are joined with what they name, so those that name nothing don't meet in one task.
+    """
+    known = captures.select(F.col("capture_id").alias("target"), key.alias(name))
+    named = captures.filter(refers_to.isNotNull()).select("capture_id", refers_to.alias("target")).join(known, "target").drop("target")
+    return captures.join(named, "capture_id", "left")
