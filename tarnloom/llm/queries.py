@@ -111,11 +111,11 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(f.k)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN f ON l.k = f.k GROUP BY doc_id""",
     "op3_suffix_dedup": """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d),
-w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS m FROM p WHERE 2 * i + 200 <= length(h)),
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, b, unnest(range(1, octet_length(b) + 1)) AS i FROM d),
+w AS (SELECT doc_id, i, md5(array_slice(b, i, i + 99)) AS m FROM p WHERE i + 99 <= octet_length(b)),
 later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY m ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
-c AS (SELECT p.doc_id, p.i, substr(h, 2 * p.i + 1, 2) AS b,
+c AS (SELECT p.doc_id, p.i, hex(array_slice(b, p.i, p.i)) AS b,
              coalesce(p.i - max(later.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS UNBOUNDED PRECEDING) < 100, false) AS gone
       FROM p LEFT JOIN later ON p.doc_id = later.doc_id AND p.i = later.i),
 r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS head FROM c),

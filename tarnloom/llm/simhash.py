@@ -6,10 +6,17 @@ fingerprint is therefore entered in the 33 cells at distance 1 or less; fingerpr
 apart. In a shared cell the verification is exact and needs no pairs either: two fingerprints differ in 2 bits or fewer if
 and only if some value is 1 bit or less from both, so the cell's members list the values 1 bit away that lie in the cell,
 and the holders of the same value are linked in a star. A group of any size costs rows in proportion to its size.
+
+Two bits are far less than what near copies of prose differ in. Asked for a similarity, the operator also takes wide
+fingerprints of five-word shingles: two documents whose shingle sets have Jaccard similarity J (cosine 2J / (1 + J)) agree in
+each bit with probability 1 - angle / pi. Bands of the wide fingerprint propose pairs (each member of a band's group with the
+group's smallest and largest member, so again no pairs within groups), and the whole fingerprint decides.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,6 +26,7 @@ from pyspark.sql import types as T
 
 from .common import WS, add_columns, fresh, remove, staged, utf8
 from .components import components
+from .decontam import WordHashes, grams
 
 _TABLE = bytes(0x20 if chr(c) in WS else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 SEGMENTS, BITS = 16, 4
@@ -113,22 +121,107 @@ def links(fps: DataFrame) -> DataFrame:
     return value.join(star, "value").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def bit_agreement(similarity: float) -> float:
+    """The probability that a bit of two fingerprints agrees, for shingle sets of this Jaccard similarity."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def band_plan(n: int, similarity: float, recall: float = 0.9) -> tuple[int, int]:
+    """(bits a band, bands) for n fingerprints: a band's value is shared by chance with one in 16 others at most, and of
+    pairs just as similar as asked `recall` share a band at least."""
+    bits = max(20, math.ceil(math.log2(max(2, n))) + 4)
+    return bits, math.ceil(math.log(1 - recall) / math.log1p(-(bit_agreement(similarity) ** bits)))
+
+
+def shingle_set(text: bytes, shingle: int, hashes: WordHashes) -> np.ndarray:
+    """The distinct hashes of a text's shingles; a text with fewer words is one shingle, without words none."""
+    words = [hashes[w] for w in text.translate(_TABLE).split(b" ") if w]
+    return np.unique(grams(np.array(words, np.uint64), min(shingle, len(words)))) if words else np.zeros(0, np.uint64)
+
+
+def wide_fingerprint(shingles: np.ndarray, tables: int) -> bytes:
+    """64 * tables bits, each the majority of one bit of a hash of all shingles."""
+    seeds = np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros(64 * tables, np.int64)
+    for at in range(0, len(shingles), 255):  # so that sums of bits fit a byte
+        x = shingles[at : at + 255, None] ^ seeds
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        counts += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(shingles)).tobytes()
+
+
+def similar_links(wide: DataFrame, similarity: float, bits: int, bands: int) -> DataFrame:
+    """(a, b): pairs of rows of wide (fp, wide) whose wide fingerprints are as near as the similarity asks, give or take
+    1.5 standard errors on the generous side."""
+
+    def cut(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                raw = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint8).reshape(some.num_rows, -1)
+                each = np.unpackbits(raw, axis=1)[:, : bits * bands].reshape(some.num_rows, bands, bits)
+                value = each @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+                key = (value * np.uint64(bands) + np.arange(bands, dtype=np.uint64)).view(np.int64)
+                fp = np.repeat(some.column(0).to_numpy(), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(fp)], names=["key", "fp"])
+
+    members = wide.mapInArrow(cut, "key long, fp long")
+    groups = members.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).filter("first <> last")
+    ends = members.join(groups, "key").select("fp", F.explode(F.array("first", "last")).alias("end")).filter("fp <> end")
+    pairs = ends.select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct()
+    total = bits * bands
+    differ = 1 - bit_agreement(similarity)
+    most = total * differ + 1.5 * math.sqrt(total * differ * (1 - differ))
+
+    def near(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most * 8 * x.shape[1] / total
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+    sides = pairs.join(wide.select(F.col("fp").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("fp").alias("b"), F.col("wide").alias("y")), "b")
+    return sides.select("a", "b", "x", "y").mapInArrow(near, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None, wide_shingle: int = 5) -> DataFrame:
     """(id_col, fingerprint long, component): a row per row of docs; component is the smallest id reachable over links.
 
     Fingerprints link at 2 bits or fewer, equal ones included; texts without words have fingerprint 0 and link like others.
+    With a similarity, documents also link whose sets of wide_shingle words are that similar, by wide fingerprints (found
+    with a probability of 0.9 or more at that similarity, and surer above it); texts without words have none.
     A null id can't be the smallest unless its whole component has none; repeated rows are repeated in the result. An empty
     table gives an empty result.
     """
     paths: list[str] = []
-    own = with_fingerprint(docs.select(F.col(id_col), F.col(text_col)), text_col, fresh(docs, "fp"), shingle)
-    own = staged(own.select(F.col(id_col), F.col(fresh(docs, "fp")).alias("fp")), "fingerprints")
-    first = staged(own.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct-fingerprints", into=paths)
-    groups = components(links(first.select("fp")))
+    source = docs.select(F.col(id_col), F.col(text_col))
+    fp = fresh(source, "fp")
+    bits, bands = band_plan(docs.count(), similarity) if similarity is not None else (0, 0)
+    tables = -(-bits * bands // 64)
+    hashes = WordHashes()
+
+    def widen(batch: pa.RecordBatch) -> list:
+        texts = utf8(batch.column(text_col))
+        out = [[fingerprint(t, shingle) for t in texts]]
+        if tables:
+            sets = (shingle_set(t, wide_shingle, hashes) for t in texts)
+            out.append([wide_fingerprint(s, tables) if len(s) else None for s in sets])
+        return out
+
+    fields = [T.StructField(fp, T.LongType()), *[T.StructField(fresh(source, "wide"), T.BinaryType())] * bool(tables)]
+    own = add_columns(source, fields, widen, drop=(text_col,)).toDF(*[id_col, "fp", "wide"][: 2 + bool(tables)])
+    own = staged(own, "fingerprints")
+    first = own.groupBy("fp").agg(F.min(id_col).alias("first"), *[F.max("wide").alias("wide")] * bool(tables))
+    first = staged(first, "distinct-fingerprints", into=paths)
+    edges = links(first.select("fp"))
+    if tables:
+        edges = edges.unionByName(similar_links(first.filter("wide IS NOT NULL").select("fp", "wide"), similarity, bits, bands))
+    groups = components(edges)
     # the smallest id of each group of linked fingerprints, then the group's id for each of its fingerprints
     grouped = first.join(groups, first.fp == groups.node)
     smallest = grouped.groupBy("component").agg(F.min("first").alias("smallest"))
     linked = groups.join(smallest, "component").select(F.col("node").alias("fp"), "smallest")
     final = staged(first.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component")), "components")
     remove(docs.sparkSession, *paths)
-    return own.join(final, "fp").select(F.col(id_col), F.col("fp").alias("fingerprint"), "component")
+    return own.select(id_col, "fp").join(final, "fp").select(F.col(id_col), F.col("fp").alias("fingerprint"), "component")

@@ -1,10 +1,10 @@
 import collections
 
 import corpus_pipeline as cp
-from tarnloom.llm import decontam, langid, line_dedup
+from tarnloom.llm import decontam, langid, line_dedup, simhash
 from tarnloom.llm.queries import table, tokenizer_path
 
-from .test_simhash import brute_components, brute_fingerprint
+from .test_simhash import brute_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,8 +34,22 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert r["text"] == "\n".join(lines) and r["n_chars"] == len(r["text"])
     assert kept[1].keys() == kept[0].keys()
 
-    rows = [(10**9 if i is None else i, brute_fingerprint(r["text"])) for i, r in kept[1].items()]
-    assert {10**9 if i is None else i for i in kept[2]} == {i for (i, _), c in zip(rows, brute_components(rows)) if c == i}
+    rows = sorted((10**9 if i is None else i, r["text"]) for i, r in kept[1].items())
+    hashes = decontam.WordHashes()
+    sets = [set(simhash.shingle_set(t.encode(), 5, hashes).tolist()) for _, t in rows]
+    bits = [brute_fingerprint(t) for _, t in rows]
+    alike = lambda i, j: len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j]))
+    names = {i: {i} for i in range(len(rows))}  # groups at a looser and at a stricter similarity than the stage's
+    strict = {i: {i} for i in range(len(rows))}
+    for groups, least in ((names, 0.7), (strict, 0.9)):
+        for i in range(len(rows)):
+            for j in range(i):
+                if groups[i] is not groups[j] and ((bits[i] ^ bits[j]).bit_count() <= 2 or alike(i, j) >= least):
+                    groups[i] |= groups[j]
+                    for x in groups[j]:
+                        groups[x] = groups[i]
+    left = {10**9 if i is None else i for i in kept[2]}
+    assert {rows[min(g)][0] for g in names.values()} <= left <= {rows[min(g)][0] for g in strict.values()}
 
     items = decontam.Items([(r.item_id, (r.text or "").encode()) for r in table(spark, SF, "benchmark").collect()], 10, 5)
     windows = {tuple(w[j : j + min(10, len(w))]) for w in items.words if w for j in range(max(1, len(w) - 9))}

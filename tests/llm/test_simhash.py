@@ -72,3 +72,28 @@ def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (5000, 5000), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_similar_documents_link(spark):
+    rng = random.Random(8)
+    say = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(4000)) for _ in range(n)]
+    rows, jaccard = [], {}
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    for i in range(120):
+        base = say(rng.choice([60, 200, 500]))
+        edits = rng.choice([0.005, 0.01, 0.02, 0.06])
+        copy = [say(1)[0] if rng.random() < edits else w for w in base]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        jaccard[i] = len(shingles(base) & shingles(copy)) / len(shingles(base) | shingles(copy))
+    docs = spark.createDataFrame([*rows, (500, None), (501, " "), (502, "one two")], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component for r in simhash.near_duplicates(docs, similarity=0.8).collect()}
+    near = [i for i, j in jaccard.items() if j >= 0.8]
+    assert sum(got[2 * i + 1] == 2 * i for i in near) >= 0.9 * len(near) > 20
+    assert all(got[2 * i + 1] == 2 * i + 1 for i, j in jaccard.items() if j < 0.65)
+    assert all(got[2 * i] == 2 * i for i in jaccard) and got[501] == got[500] == 500 and got[502] == 502
+
+
+def test_band_plan_grows_slowly():
+    (b1, n1), (b2, n2) = simhash.band_plan(10**5, 0.8), simhash.band_plan(10**9, 0.8)
+    assert b1 == 21 and b2 == 34 and n1 < n2 < 10 * n1
+    assert simhash.bit_agreement(1.0) == 1.0 and abs(simhash.bit_agreement(0.0) - 0.5) < 1e-9
