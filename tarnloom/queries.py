@@ -661,3 +661,47 @@ def publish_stream(spark, d):
 def snapshot_digests(spark, d):
     out = partition_digests(docs(spark, d).filter("status = 'published'"))
     return out.agg(F.count_distinct("name").alias("names"), F.count_distinct("root").alias("roots"))
+
+
+@query(REC + "SELECT key, size FROM rec WHERE partition_id = 7 AND status = 'published'")
+def spilled_partition(spark, d):
+    path = workspace(spark, "spill")
+    bulk.spilled(docs(spark, d), path)
+    return spark.read.parquet(path).filter("partition_id = 7").select("key", "size")
+
+
+@query("SELECT DISTINCT sha256(coalesce(text, '')) AS hash, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM documents")
+def blob_put(spark, d):
+    own = docs(spark, d)
+    return own.unionByName(own).select(F.col("content_hash").alias("hash"), "size").dropDuplicates(["hash"])
+
+
+@query("SELECT page_id % 10 AS batch, count(*) FILTER (WHERE octet_length(encode(coalesce(html, ''))) > 4000)::BIGINT AS errors, count(*)::BIGINT AS n FROM pages GROUP BY 1")
+def batch_errors(spark, d):
+    rows = fixtures.pages(spark, d).withColumn("error", F.when(F.col("size") > 4000, "value_too_large"))
+    return rows.groupBy((F.col("seq") % 10).alias("batch")).agg(F.count_if(F.col("error").isNotNull()).alias("errors"), F.count("*").alias("n"))
+
+
+@query(REC + "SELECT (max(created_s) * 1000)::BIGINT AS newest_ms, count(*)::BIGINT AS n FROM (SELECT * FROM rec ORDER BY key LIMIT 50 OFFSET 100)")
+def page_newest(spark, d):
+    return lookup.page(docs(spark, d), 100, 50).agg(F.unix_millis(F.max("created_at")).alias("newest_ms"), F.count("*").alias("n"))
+
+
+@query(EV + ", k AS (SELECT *, " + p("key") + """ AS partition_id FROM o WHERE outcome = 'queued'),
+l AS (SELECT partition_id, sha256('L' || chr(10) || string_agg(key || chr(9) || content_hash || chr(9) || size || chr(9) || created_ms || chr(9) || '-', chr(10) ORDER BY key)) AS h FROM k GROUP BY partition_id)
+SELECT partition_id, h NOT LIKE '0%' AS complete FROM l""")
+def tree_completeness(spark, d):
+    nodes = bulk.build(_entries(spark, d))[0]
+    return sync.completeness(nodes, nodes.filter("node_hash NOT LIKE '0%'"))
+
+
+@query(EV + ", k AS (SELECT *, " + p("key") + " AS partition_id FROM o WHERE outcome = 'queued') SELECT partition_id, key, content_hash FROM k")
+def tree_scan(spark, d):
+    rows = _entries(spark, d)
+    return tree.leaf_of(rows, tree.shape(rows, 2)).select("partition_id", "key", "content_hash")
+
+
+@query("SELECT r.i AS code, bit_count(r.i)::INT AS distance, (CASE WHEN r.i < 8 THEN 0 WHEN r.i < 16 THEN 1 WHEN r.i < 24 THEN 2 ELSE 3 END)::INT AS probe FROM range(32) r(i)")
+def radius_probes(spark, d):
+    probe = F.element_at(F.array(*[F.lit(codes.exact_probe(r, 8)) for r in range(32)]), (F.col("id") + 1).cast("int"))
+    return spark.range(32).select(F.col("id").alias("code"), codes.distance(F.col("id"), F.lit(0).cast("long")).cast("int").alias("distance"), probe.alias("probe"))
