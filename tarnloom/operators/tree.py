@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys, values
+from ..lineage import cut
 from ..schema import LEAF_LIMIT
 
 DEPTH_LIMIT = 31
@@ -34,7 +35,7 @@ def shape(entries: DataFrame, limit: int = LEAF_LIMIT) -> DataFrame:
         at = F.left("path", F.lit(2 * depth))
         counts = rest.groupBy("partition_id", at.alias("prefix")).agg(F.count("*").alias("n_entries"))
         last = depth == DEPTH_LIMIT
-        counts = counts.withColumns({"depth": F.lit(depth), "kind": F.lit("leaf") if last else F.when(F.col("n_entries") <= limit, "leaf").otherwise("intermediate")}).checkpoint()
+        counts = cut(counts.withColumns({"depth": F.lit(depth), "kind": F.lit("leaf") if last else F.when(F.col("n_entries") <= limit, "leaf").otherwise("intermediate")}))
         levels.append(counts)
         large = counts.filter("kind = 'intermediate'").select("partition_id", "prefix")
         if last or not large.limit(1).count():
@@ -63,7 +64,7 @@ def encoded_leaf(entries: DataFrame, nodes: DataFrame) -> DataFrame:
 def hashes(entries: DataFrame, nodes: DataFrame, algorithm: str = "sha256") -> DataFrame:
     """(partition_id, depth, prefix, kind, node_hash, bytes): from the leaves up, a node's bytes list its children by slot."""
     leaves = encoded_leaf(entries, nodes).select("partition_id", (F.length("prefix") / 2).cast("int").alias("depth"), "prefix", F.lit("leaf").alias("kind"), "bytes")
-    level = leaves.withColumn("node_hash", values.content_hash(F.col("bytes"), algorithm)).checkpoint()
+    level = cut(leaves.withColumn("node_hash", values.content_hash(F.col("bytes"), algorithm)))
     done = [level]
     deepest = level.agg(F.max("depth")).first()[0] or 0
     above = level.limit(0)
@@ -73,7 +74,7 @@ def hashes(entries: DataFrame, nodes: DataFrame, algorithm: str = "sha256") -> D
         own = children.groupBy("partition_id", F.left("prefix", F.lit(2 * (depth - 1))).alias("prefix")).agg(F.array_sort(F.collect_list(slot)).alias("c"))
         text = F.concat(F.lit("I\n"), F.array_join(F.transform("c", lambda x: F.concat_ws("\t", x["slot"], x["node_hash"])), "\n"))
         made = own.select("partition_id", F.lit(depth - 1).alias("depth"), "prefix", F.lit("intermediate").alias("kind"), text.alias("bytes"))
-        above = made.withColumn("node_hash", values.content_hash(F.col("bytes"), algorithm)).checkpoint()
+        above = cut(made.withColumn("node_hash", values.content_hash(F.col("bytes"), algorithm)))
         done.append(above)
     return reduce(DataFrame.unionByName, done).select("partition_id", "depth", "prefix", "kind", "node_hash", "bytes")
 

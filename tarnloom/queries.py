@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
+import datetime
+import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import plans
 from .functions import codes, keys, values
+from .lineage import shared_dir
 from .operators import audit, bulk, lookup, similar, submit, summary, sync, tree
 from .sources import dump, fixtures
 from .sources.store import Registry, partition_digests
@@ -175,8 +177,6 @@ def iscc_decode_rejects(spark, d):
 
 
 def _key(spark, d, ident: int) -> str:
-    import hashlib
-
     return "f01551220" + hashlib.sha256(f"doc-{ident}".encode()).hexdigest()
 
 
@@ -567,25 +567,15 @@ def health(spark, d):
 def updated_since(spark, d):
     rows = fixtures.table(spark, d, "events")
     mark = rows.agg(F.min("ts")).first()[0]  # the stored watermark
-    import datetime
-
     return sync.updated_since(rows, F.lit(mark + datetime.timedelta(days=1))).select(F.col("event_id").alias("seq"))
 
 
 # -- sources, bulk load, streaming -------------------------------------------------------------------------------------
 
 
-@functools.cache
-def _shared(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else "file://" + tempfile.mkdtemp(prefix="tarnloom-", dir="/tmp")
-
-
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
-    import uuid
-
-    return f"{_shared(spark)}/registry/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/registry/{name}-{uuid.uuid4().hex[:12]}"
 
 
 @query("""WITH l AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events) SELECT n::BIGINT AS ordinal, event_id FROM l WHERE n > 100 AND n <= 600""")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import keys, values
+from ..lineage import cut
 from ..operators import submit
 from ..schema import RECORD
 from .dump import exists
@@ -61,7 +62,7 @@ class Registry:
     def submit(self, submissions: DataFrame, version: int, ingested_at=None) -> DataFrame:
         """Validate and add (seq, key, value) rows as `version`; the outcomes, rejects included."""
         derived = submit.derive(submissions, ingested_at)
-        valid = submit.classify(derived.filter("error IS NULL"), self.records(version - 1)).checkpoint()
+        valid = cut(submit.classify(derived.filter("error IS NULL"), self.records(version - 1)))
         new = valid.filter(F.col("outcome") == "queued")
         self._write(new.select(F.col("content_hash").alias("hash"), "value").dropDuplicates(["hash"]), "blobs", version)
         self._write(new.select(*[f.name for f in _RECORDS.fields if f.name != "version"]).repartition("partition_id").sortWithinPartitions("partition_id", "key"), "records", version, True)
@@ -76,7 +77,7 @@ class Registry:
         pending = records.filter("status = 'pending'")
         batch = pending if most is None else pending.orderBy("seq").limit(most)
         none = self.spark.createDataFrame([], "key string")
-        done = submit.split_denied(batch, none if denylist is None else denylist).checkpoint()
+        done = cut(submit.split_denied(batch, none if denylist is None else denylist))
         after = submit.finish(batch, done, at)
         self._write(after.select(*[f.name for f in _RECORDS.fields if f.name != "version"]).repartition("partition_id").sortWithinPartitions("partition_id", "key"), "records", version, True)
         touched = done.filter("verdict = 'published'").select("partition_id").distinct()
@@ -85,6 +86,20 @@ class Registry:
         self._commit(version)
         return done.count()
 
+    def compact(self, version: int) -> None:
+        """Write all records' newest rows as `version` and drop the rows of earlier versions, which reads then no longer pass.
+
+        Asking for an earlier version's records is over after that.
+        """
+        old = [r.version for r in self._read("records", _RECORDS).select("version").distinct().collect()]  # a row a version
+        self._write(cut(self.records()).repartition("partition_id").sortWithinPartitions("partition_id", "key"), "records", version, True)
+        self._commit(version)
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for v in old:
+            if v < version:
+                at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/records/version={v}")
+                at.getFileSystem(conf).delete(at, True)
+
     def _commit(self, version: int) -> None:
         self.spark.createDataFrame([(version,)], _COMMITS).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/version={version}")
 

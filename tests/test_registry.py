@@ -188,6 +188,19 @@ def test_registry_replays_and_survives_half_batches(spark, tmp_path):
     assert registry.root_log().count() == len({r.partition_id for r in registry.records().filter("status = 'published'").collect()})
 
 
+def test_compaction_changes_nothing_that_is_read(spark, tmp_path):
+    rows = dump.generated(spark, 20)
+    registry = Registry(spark, f"file://{tmp_path}/r")
+    registry.submit(rows.filter("seq < 10"), 1, at())
+    registry.publish(2, at())
+    registry.submit(rows, 3, at())
+    state = sorted(map(str, registry.records().collect()))
+    registry.compact(4)
+    assert sorted(map(str, registry.records().collect())) == state and registry.committed() == 4
+    assert [p.name for p in (tmp_path / "r/records").iterdir() if p.name.startswith("version")] == ["version=4"]
+    assert registry.publish(5, at()) == 10
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = dump.generated(spark, 30)
     rows.filter("seq < 20").coalesce(1).write.json(f"{tmp_path}/in")
