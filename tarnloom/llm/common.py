@@ -10,24 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lineage import shared_dir
+
 #: The characters that contracts call white space.
 WS = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The session's spark.checkpoint.dir; where that is unset, a folder of this machine in local mode and the warehouse
-    (shared by definition) on a cluster.
-    """
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        return "file:///tmp/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tarnloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -67,6 +55,8 @@ def add_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.Rec
             made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, k) for x, k in zip(fn(batch), kinds, strict=True)]
             cols = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*cols, *made], names=[f.name for f in schema.fields])
+            del batch, made, cols
+        pa.default_memory_pool().release_unused()  # workers are reused, and what they hold counts against their executor
 
     return df.mapInArrow(run, schema)
 

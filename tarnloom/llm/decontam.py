@@ -36,7 +36,7 @@ class WordHashes(dict):
     """A word's 64-bit hash, remembered; the memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

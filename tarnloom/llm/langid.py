@@ -14,11 +14,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, slices
 
 #: First code points of blocks with letters, and their script (fixed values of the Unicode standard; a block ends where the next begins).
 SCRIPTS = (
@@ -191,7 +192,7 @@ class Decoder:
         return out
 
     def trim(self) -> None:
-        if len(self.known) > 400_000:
+        if len(self.known) > 200_000:
             self._forget()
 
 
@@ -223,22 +224,26 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = 8.0, spans:
         if sent.value is None:
             return [[UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, *[[[]] * batch.num_rows] * spans]
         decoder = decoder_of(key, lambda: sent.value, penalty)
-        decoder.trim()
         column = batch.column(text_col)
-        codes = [decoder.codes(x.as_py() or "") for x in column]
-        labels = decoder.labels(codes)
-        pred, score, found = [], [], []
         langs = decoder.model.langs
-        for i, (c, label) in enumerate(zip(codes, labels, strict=True)):
-            letters = np.bincount(label, decoder.letters[c], len(langs)) if len(c) else np.zeros(1)
-            total = letters.sum()
-            top = int(letters.argmax())
-            pred.append(langs[top] if total else UNKNOWN)
-            score.append(float(letters[top] / total) if total else 0.0)
-            if spans:
-                at = [m.span() for m in _WORD.finditer((column[i].as_py() or "").lower())]
-                cuts = [0, *(np.flatnonzero(np.diff(label)) + 1).tolist(), len(label)] if len(label) else [0]
-                found.append([{"begin": at[a][0], "end": at[b - 1][1], "lang": langs[label[a]]} for a, b in zip(cuts, cuts[1:], strict=False)])
+        pred, score, found = [UNKNOWN] * len(column), [0.0] * len(column), [None] * len(column)
+        # documents of like length together, a few MB at a time: as many steps as the longest has words
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+        order = np.argsort(sizes, kind="stable")
+        for a, b in slices(sizes[order].tolist(), 4 << 20):
+            decoder.trim()
+            rows = order[a:b].tolist()
+            codes = [decoder.codes(column[i].as_py() or "") for i in rows]
+            for i, c, label in zip(rows, codes, decoder.labels(codes), strict=True):
+                letters = np.bincount(label, decoder.letters[c], len(langs)) if len(c) else np.zeros(1)
+                total = letters.sum()
+                if total:
+                    top = int(letters.argmax())
+                    pred[i], score[i] = langs[top], float(letters[top] / total)
+                if spans:
+                    at = [m.span() for m in _WORD.finditer((column[i].as_py() or "").lower())]
+                    cuts = [0, *(np.flatnonzero(np.diff(label)) + 1).tolist(), len(label)] if len(label) else [0]
+                    found[i] = [{"begin": at[x][0], "end": at[y - 1][1], "lang": langs[label[x]]} for x, y in zip(cuts, cuts[1:], strict=False)]
         return [pred, score, *[found] * spans]
 
     return add_columns(docs, fields, run)

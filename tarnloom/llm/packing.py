@@ -13,7 +13,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,14 +54,18 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
-            text = f.read()
-        self.tokenizer = Tokenizer.from_str(text)
-        ranks = byte_ranks(json.loads(text))
+            ranks = byte_ranks(json.load(f))
         self.fast = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or _ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -99,12 +103,12 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "d
     return source.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents' tokens, in one row of windows: a row per piece of a document that lies in one window.
 
     Columns: id_col, start (the document's ids before the piece), length, doc_tokens, sequence_id, offset (in the window),
-    ids (binary, little-endian unsigned 32-bit). Only the last window can be short. Nulls and repeats: see tokenized(); an
-    empty table gives no piece.
+    ids_crc32 (of the ids' bytes), and with_ids also ids (binary, little-endian unsigned 32-bit). Only the last window can be
+    short. Nulls and repeats: see tokenized(); an empty table gives no piece.
     """
     tokens = staged(tokenized(docs, tokenizer, end_id, id_col, text_col), "tokens")
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
@@ -112,8 +116,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     placed = tokens.join(F.broadcast(before), "part").select(F.col(id_col), (F.col("before") + F.col("start_in_part")).alias("at"), "ids")
     kind = placed.schema.fields[0]
-    names = ["start", "length", "doc_tokens", "sequence_id", "offset"]
-    schema = T.StructType([kind, *[T.StructField(x, T.LongType()) for x in names], T.StructField("ids", T.BinaryType())])
+    names = ["start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"]
+    schema = T.StructType([kind, *[T.StructField(x, T.LongType()) for x in names], *[T.StructField("ids", T.BinaryType())] * with_ids])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,23 +134,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
                 hi = np.minimum((seq + 1) * window, (at + n)[row])
                 start, length = lo - at[row], hi - lo
                 pieces = [ids[r][4 * s : 4 * (s + k)] for r, s, k in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(row)), *map(pa.array, (start, length, n[row], seq, lo - seq * window)), pa.array(pieces, pa.binary())], names=schema.names)
+                crc = pa.array([zlib.crc32(x) for x in pieces], pa.int64())
+                made = [some.column(0).take(pa.array(row)), *map(pa.array, (start, length, n[row], seq, lo - seq * window)), crc]
+                yield pa.RecordBatch.from_arrays([*made, *[pa.array(pieces, pa.binary())] * with_ids], names=schema.names)
 
     return placed.mapInArrow(cut, schema)
 
 
-def with_crc32(pieces: DataFrame) -> DataFrame:
-    """pieces with ids_crc32 (of the ids' bytes) in place of ids."""
-    schema = T.StructType([*[f for f in pieces.schema.fields if f.name != "ids"], T.StructField("ids_crc32", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = pa.array([zlib.crc32(x) for x in b.column("ids").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in schema.names[:-1]], crc], names=schema.names)
-
-    return pieces.mapInArrow(run, schema)
-
-
 def sequences(pieces: DataFrame) -> DataFrame:
     """Whole windows: sequence_id and ids (binary), from the pieces that meet there; at most a window's ids each."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))

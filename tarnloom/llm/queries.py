@@ -25,8 +25,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), window=2048, end_id=1)
-    return packing.with_crc32(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), window=2048, end_id=1, with_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
