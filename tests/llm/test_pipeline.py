@@ -71,3 +71,13 @@ def test_run_is_its_stages(spark):
     rows = cp.run(spark, SF).collect()
     at = sorted((r.sequence_id, r.offset, r.length) for r in rows)
     assert at[0][:2] == (0, 0) and all(a * 2048 + b + n == c * 2048 + d for (a, b, n), (c, d, _) in zip(at, at[1:]))
+
+
+def test_columns_that_clash_come_through(spark):
+    docs = table(spark, SF, "documents").limit(20).withColumns({c: cp.F.lit(c) for c in ("score", "N_lines", "contaminated", "hits", "fp", "component")})
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert all(r[c] == c for r in out.collect() for c in docs.columns[5:])
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
