@@ -23,21 +23,27 @@ def _number(bits: Column) -> Column:
     return F.conv(bits, 2, -10).cast("long")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def decode(text: Column) -> Column:
     """The content code of an ISCC; null for anything that isn't one with a content code. Strict unpadded base32."""
-    trimmed = F.trim(text)
-    bare = F.upper(F.regexp_replace(trimmed, "^(ISCC:|iscc:)", ""))
-    n = F.length(bare)
-    shape = bare.rlike("^[A-Z2-7]{4,100}$") & (n % 8).isin(0, 2, 4, 5, 7)
-    bits = _bits(F.when(shape, bare))
-    used = (n * 5 / 8).cast("int") * 8
-    clean = F.substr(bits, used + 1).rlike("^0*$")
-    kind = F.substring(bits, 1, 4)
-    size = used / 8
-    unit = (kind == F.lit("0010")) & (size >= 10)
-    composite = (kind == F.lit("0101")) & (size == 34)
-    body = F.when(unit, F.substring(bits, 17, 64)).when(composite, F.substring(bits, 81, 64))
-    return F.when(shape & clean, _number(body))
+
+    def of_bits(bits: Column) -> Column:
+        used = (F.length(bits) / 8).cast("int") * 8
+        clean = F.substr(bits, used + 1).rlike("^0*$")
+        kind = F.substring(bits, 1, 4)
+        unit = (kind == F.lit(format(CONTENT, "04b"))) & (used >= 80)
+        composite = (kind == F.lit(format(COMPOSITE, "04b"))) & (used == 272)
+        return F.when(clean & unit, _number(F.substring(bits, 17, 64))).when(clean & composite, _number(F.substring(bits, 81, 64)))
+
+    def of_bare(bare: Column) -> Column:
+        shape = bare.rlike("^[A-Z2-7]{4,100}$") & (F.length(bare) % 8).isin(0, 2, 4, 5, 7)
+        return F.when(shape, let(_bits(bare), of_bits))
+
+    return let(F.upper(F.regexp_replace(F.trim(text), "^(ISCC:|iscc:)", "")), of_bare)
 
 
 def encode(code: Column, subtype: int = 0) -> Column:

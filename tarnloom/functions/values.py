@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .codes import let
+
 #: How values are hashed, by name. Equality of hashes decides duplicates and conflicts; the algorithm is stored beside them.
 HASHES = {"sha256": lambda c: F.sha2(c, 256), "sha512": lambda c: F.sha2(c, 512), "md5": F.md5}
 
@@ -39,16 +41,13 @@ def canonical(value: Column) -> Column:
 
 def iscc_field(value: Column) -> Column:
     """The ISCC string of a value: key ISCC first, else the first key that is equal but for case; null unless a string."""
-    v = variant(value)
-    keys = F.when(is_object(value), F.json_object_keys(value))
-    named = F.filter(keys, lambda k: F.lower(k) == "iscc")
-    exact = F.array_contains(named, "ISCC")
-    first = F.when(exact, F.lit("ISCC")).otherwise(F.get(F.array_sort(named), F.lit(0)))
-    out = F.lit(None).cast("string")
-    for spelled in ("ISCC", "ISCc", "IScC", "IScc", "IsCC", "IsCc", "IscC", "Iscc", "iSCC", "iSCc", "iScC", "iScc", "isCC", "isCc", "iscC", "iscc"):
-        field = F.try_variant_get(v, f"$.{spelled}", "variant")
-        out = F.when(first == spelled, F.when(_kind(field) == "STRING", F.try_variant_get(v, f"$.{spelled}", "string"))).otherwise(out)
-    return out
+    fields = F.from_json(F.when(is_object(value), value), "map<string,variant>")
+
+    def chosen(m: Column) -> Column:
+        named = F.array_sort(F.filter(F.map_keys(m), lambda k: F.lower(k) == "iscc"))  # ISCC sorts before all other spellings
+        return let(F.element_at(m, F.get(named, F.lit(0))), lambda v: F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")))
+
+    return let(fields, chosen)
 
 
 def listed_iscc(value: Column) -> Column:

@@ -27,10 +27,11 @@ def http_status(error: Column) -> Column:
 
 def derive(submissions: DataFrame, ingested_at: Column | None = None, algorithm: str = "sha256", max_bytes: int = MAX_VALUE_BYTES) -> DataFrame:
     """Index records of (seq, key, value) rows, plus error: null where valid."""
-    value = values.canonical(F.col("value"))
-    return submissions.select("seq", "key", value.alias("value"), reject_code(F.col("key"), F.col("value"), value, max_bytes).alias("error")).select(
+    # in steps: Catalyst keeps projections apart whose columns are used more than once
+    known = submissions.select("seq", "key", values.canonical(F.col("value")).alias("value")).withColumn("error", reject_code(F.col("key"), F.col("value"), F.col("value"), max_bytes))
+    return known.withColumn("iscc", values.iscc_field(F.col("value"))).select(
         "seq", "key", "value", values.content_hash(F.col("value"), algorithm).alias("content_hash"), values.size(F.col("value")).alias("size"), keys.partition_id(F.col("key")).alias("partition_id"),
-        F.lit(PENDING).alias("status"), values.created_at(F.col("value"), ingested_at).alias("created_at"), codes.decode(values.iscc_field(F.col("value"))).alias("content_code"), F.lit(None).cast("timestamp").alias("published_at"), "error",
+        F.lit(PENDING).alias("status"), values.created_at(F.col("value"), ingested_at).alias("created_at"), codes.decode(F.col("iscc")).alias("content_code"), F.lit(None).cast("timestamp").alias("published_at"), "error",
     )
 
 

@@ -23,10 +23,15 @@ _COMMITS = T.StructType([T.StructField("version", T.LongType())])
 
 
 class Registry:
-    """path: a folder that all executors share."""
+    """path: a folder that all executors share.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    Records are range-partitioned and sorted by (partition_id, key), so that a lookup's constants skip row groups by their
+    statistics. folders: also a folder for each partition id, which prunes whole files; for registries large enough that 256
+    folders a version hold files of a good size.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, folders: bool = False):
+        self.spark, self.path, self.folders = spark, path.rstrip("/"), folders
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         at = f"{self.path}/{name}"
@@ -34,8 +39,11 @@ class Registry:
 
     def _write(self, df: DataFrame, name: str, version: int, partitions: bool = False) -> None:
         """A version's rows replace what an earlier attempt at the same version has written."""
-        writer = df.drop("version").write.mode("overwrite")
-        (writer.partitionBy("partition_id") if partitions else writer).parquet(f"{self.path}/{name}/version={version}")
+        df = df.drop("version")
+        if partitions:
+            df = df.repartitionByRange("partition_id", "key").sortWithinPartitions("partition_id", "key")
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy("partition_id") if partitions and self.folders else writer).parquet(f"{self.path}/{name}/version={version}")
 
     def committed(self) -> int | None:
         return self._read("commits", _COMMITS).agg(F.max("version")).first()[0]
@@ -65,7 +73,7 @@ class Registry:
         valid = cut(submit.classify(derived.filter("error IS NULL"), self.records(version - 1)))
         new = valid.filter(F.col("outcome") == "queued")
         self._write(new.select(F.col("content_hash").alias("hash"), "value").dropDuplicates(["hash"]), "blobs", version)
-        self._write(new.select(*[f.name for f in _RECORDS.fields if f.name != "version"]).repartition("partition_id").sortWithinPartitions("partition_id", "key"), "records", version, True)
+        self._write(new.select(*[f.name for f in _RECORDS.fields if f.name != "version"]), "records", version, True)
         self._commit(version)
         rejected = derived.filter("error IS NOT NULL").select("seq", "key", F.lit("rejected").alias("outcome"), F.lit(None).cast("string").alias("existing_hash"), "error")
         return valid.select("seq", "key", "outcome", "existing_hash", "error").unionByName(rejected)
@@ -79,7 +87,7 @@ class Registry:
         none = self.spark.createDataFrame([], "key string")
         done = cut(submit.split_denied(batch, none if denylist is None else denylist))
         after = submit.finish(batch, done, at)
-        self._write(after.select(*[f.name for f in _RECORDS.fields if f.name != "version"]).repartition("partition_id").sortWithinPartitions("partition_id", "key"), "records", version, True)
+        self._write(after.select(*[f.name for f in _RECORDS.fields if f.name != "version"]), "records", version, True)
         touched = done.filter("verdict = 'published'").select("partition_id").distinct()
         entries = records.filter("status = 'published'").unionByName(after.filter("status = 'published'").select(*records.columns)).join(touched, "partition_id", "left_semi")
         self._write(partition_digests(entries), "roots", version)
@@ -92,7 +100,7 @@ class Registry:
         Asking for an earlier version's records is over after that.
         """
         old = [r.version for r in self._read("records", _RECORDS).select("version").distinct().collect()]  # a row a version
-        self._write(cut(self.records()).repartition("partition_id").sortWithinPartitions("partition_id", "key"), "records", version, True)
+        self._write(cut(self.records()), "records", version, True)
         self._commit(version)
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for v in old:

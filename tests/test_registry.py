@@ -190,7 +190,7 @@ def test_registry_replays_and_survives_half_batches(spark, tmp_path):
 
 def test_compaction_changes_nothing_that_is_read(spark, tmp_path):
     rows = dump.generated(spark, 20)
-    registry = Registry(spark, f"file://{tmp_path}/r")
+    registry = Registry(spark, f"file://{tmp_path}/r", folders=True)
     registry.submit(rows.filter("seq < 10"), 1, at())
     registry.publish(2, at())
     registry.submit(rows, 3, at())
