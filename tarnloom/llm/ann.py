@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 LEAF = 64
-#: Rows from which the upper tree is cut.
-SAMPLE = 20_000
+#: Points from which the upper tree is cut, about (more if it has over 2,500 blocks); blocks at most, so that the boxes sent to all executors have a fixed size.
+SAMPLE, MOST_BLOCKS = 20_000, 65_536
 
 
 def chi_square_cdf(x: float, even: int) -> float:
@@ -176,13 +176,20 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, dims: int = 8, confidence
     n, far2 = points.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).first()
     directions = projection(dim, dims, seed)
     limit = chi_square_point(confidence, dims)
-    blocks = math.ceil(n / block_rows)
+    blocks = math.ceil(n / max(block_rows, math.ceil(n / MOST_BLOCKS)))  # beyond MOST_BLOCKS the blocks grow instead
 
     def projected(v: np.ndarray) -> np.ndarray:
         return np.hstack([v, np.sqrt(np.maximum(far2 - (v * v).sum(axis=1), 0))[:, None]]) @ directions
 
-    some = points.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE) if n > SAMPLE else points.select("v")
-    heap = splits(projected(np.array([r.v for r in some.collect()])), blocks)  # SAMPLE rows at most
+    def seen(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(projected(matrix(b.column("v"))).tolist())], names=["p"])
+
+    # about SAMPLE points, or eight a block: those with a small hash
+    share = min(1.0, max(SAMPLE, 8 * blocks) / n)
+    some = points.select("v").filter(F.xxhash64("v") <= round(-(1 << 63) + share * ((1 << 64) - 1025)))
+    heap = splits(np.array([r.p for r in some.mapInArrow(seen, "p array<double>").collect()]).reshape(-1, dims), blocks)
 
     def dealt(batches):
         for b in batches:
