@@ -224,17 +224,16 @@ def joined(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[new], begin[new], end[np.append(new[1:], len(doc)) - 1]
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, list[str]]:
-    """docs with a unique long that is in the order of (id, nulls last; then text hash), its name, and staged paths.
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs with a unique long that is in the order of (id, nulls last; then text hash), and its name.
 
     That is the id itself where ids are unique and not null. Otherwise rows are numbered over range partitions; rows equal in
     both id and text get the same number: they are one document, and each gets its result.
     """
-    paths: list[str] = []
     n, distinct, known = docs.agg(F.count("*"), F.count_distinct(id_col), F.count(id_col)).first()
     name = fresh(docs, "doc_number")
     if n == distinct == known:
-        return docs.withColumn(name, F.col(id_col).cast("long")), name, paths
+        return docs.withColumn(name, F.col(id_col).cast("long")), name
     text = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     keys = docs.select(F.col(id_col).alias("i"), text.alias("h")).distinct()
     ranged = keys.repartitionByRange(F.asc_nulls_last("i"), F.asc("h")).sortWithinPartitions(F.asc_nulls_last("i"), F.asc("h"))
@@ -248,7 +247,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, st
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(np.arange(at, at + b.num_rows))], names=["i", "h", "part", "at"])
             at += b.num_rows
 
-    rows = staged(ranged.mapInArrow(number, T.StructType([T.StructField("i", kind), T.StructField("h", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType())])), "numbers", into=paths)
+    rows = staged(ranged.mapInArrow(number, T.StructType([T.StructField("i", kind), T.StructField("h", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType())])), "numbers")
     sizes = sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row a partition
     base, total = [], 0
     for part, size in sizes:
@@ -256,7 +255,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, st
         total += size
     starts = F.broadcast(docs.sparkSession.createDataFrame(base, "part int, base long"))
     rows = rows.join(starts, "part").select("i", "h", (F.col("base") + F.col("at")).alias(name))
-    return docs.join(rows, docs[id_col].eqNullSafe(rows.i) & (text == rows.h)).drop("i", "h"), name, paths
+    return docs.join(rows, docs[id_col].eqNullSafe(rows.i) & (text == rows.h)).drop("i", "h"), name
 
 
 def free(spark: SparkSession) -> None:
@@ -384,7 +383,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, max_group: int = 4000, sh
     paths: list[str] = []
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())]
     docs = docs.drop(*[f.name for f in fields])
-    own, key, more = numbered(docs, id_col, text_col)
+    own, key = numbered(docs, id_col, text_col)
     spans = repeated_spans(own, key, text_col, length, max_group, share_bytes, paths)
     cuts, number = fresh(own, "cuts"), fresh(own, "number")
     grouped = spans.groupBy("doc").agg(F.collect_list(F.struct("begin", "end")).alias(cuts)).withColumnRenamed("doc", number)
@@ -414,6 +413,5 @@ def remove_repeats(docs: DataFrame, length: int = 100, max_group: int = 4000, sh
         return [n, removed, runs, kept]
 
     out = add_columns(whole, fields, apply, drop=(cuts, key))
-    remove(docs.sparkSession, *[p for p in paths[:-1]])  # the spans are still read
-    del more
+    remove(docs.sparkSession, *paths[:-1])  # the spans are still read
     return out.select(*docs.columns, *[f.name for f in fields])
