@@ -7,10 +7,9 @@ apart. In a shared cell the verification is exact and needs no pairs either: two
 and only if some value is 1 bit or less from both, so the cell's members list the values 1 bit away that lie in the cell,
 and the holders of the same value are linked in a star. A group of any size costs rows in proportion to its size.
 
-Two bits are far less than what near copies of prose differ in. Asked for a similarity, the operator also takes wide
-fingerprints of five-word shingles: two documents whose shingle sets have Jaccard similarity J (cosine 2J / (1 + J)) agree in
-each bit with probability 1 - angle / pi. Bands of the wide fingerprint propose pairs (each member of a band's group with the
-group's smallest and largest member, so again no pairs within groups), and the whole fingerprint decides.
+Two bits are far less than what near copies of prose differ in. Asked for a similarity, the operator also links documents
+whose sets of five-word shingles have that Jaccard similarity. Signatures of smallest shingles are cut into bands; a band's
+group proposes its members with its smallest and largest. The sets themselves decide.
 """
 
 from __future__ import annotations
@@ -32,6 +31,9 @@ _TABLE = bytes(0x20 if chr(c) in WS else c + 32 if 0x41 <= c <= 0x5A else c for
 SEGMENTS, BITS = 16, 4
 #: Shingles hashed and counted at once.
 _BLOCK = 1 << 16
+#: Smallest shingles in a band (a byte each), and bands: sets of Jaccard similarity 0.8 share one with a probability of 0.999.
+ROWS, BANDS = 8, 40
+_FLIP, _ODD = np.random.default_rng(42).integers(0, 1 << 32, (2, ROWS * BANDS), np.uint32) | np.array([[0], [1]], np.uint32)
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -139,84 +141,144 @@ def shingle_set(text: bytes, shingle: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(grams(np.array(words, np.uint64), min(shingle, len(words)))) if words else np.zeros(0, np.uint64)
 
 
-def wide_fingerprint(shingles: np.ndarray, tables: int) -> bytes:
-    """64 * tables bits, each the majority of one bit of a hash of all shingles."""
-    seeds = np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    counts = np.zeros(64 * tables, np.int64)
-    for at in range(0, len(shingles), 255):  # so that sums of bits fit a byte
-        x = shingles[at : at + 255, None] ^ seeds
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        counts += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * counts > len(shingles)).tobytes()
+def signature(shingles: np.ndarray) -> bytes:
+    """ROWS * BANDS bytes, each of a hash of the shingle that is smallest under one of as many hash functions: two sets agree
+    in a byte with a probability of their Jaccard similarity (and by chance, 1/256)."""
+    x = (shingles ^ (shingles >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = ((x ^ (x >> np.uint64(27))) >> np.uint64(16)).astype(np.uint32)
+    low = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 128):
+        np.minimum(low, ((x[at : at + 128, None] ^ _FLIP) * _ODD).min(axis=0), out=low)
+    return ((low.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def similar_links(wide: DataFrame, similarity: float, bits: int, bands: int) -> DataFrame:
-    """(a, b): pairs of rows of wide (fp, wide) whose wide fingerprints are as near as the similarity asks, give or take
-    1.5 standard errors on the generous side."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), ROWS * BANDS)
+
+
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """(key, node, first, last, n): the members of each band's group of two nodes or more; first and last are its ends."""
 
     def cut(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                raw = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint8).reshape(some.num_rows, -1)
-                each = np.unpackbits(raw, axis=1)[:, : bits * bands].reshape(some.num_rows, bands, bits)
-                value = each @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
-                key = (value * np.uint64(bands) + np.arange(bands, dtype=np.uint64)).view(np.int64)
-                fp = np.repeat(some.column(0).to_numpy(), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(fp)], names=["key", "fp"])
-
-    members = wide.mapInArrow(cut, "key long, fp long")
-    groups = members.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).filter("first <> last")
-    ends = members.join(groups, "key").select("fp", F.explode(F.array("first", "last")).alias("end")).filter("fp <> end")
-    pairs = ends.select(F.least("fp", "end").alias("a"), F.greatest("fp", "end").alias("b")).distinct()
-    total = bits * bands
-    differ = 1 - bit_agreement(similarity)
-    most = total * differ + 1.5 * math.sqrt(total * differ * (1 - differ))
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                value = (_matrix(some.column(1)).view("<u8") ^ np.arange(1, BANDS + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                key = ((value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(some.column(0).to_numpy(), BANDS))], names=["key", "node"])
+
+    members = nodes.select("node", "sig").mapInArrow(cut, "key long, node long")
+    groups = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    return members.join(groups, "key")
+
+
+def exact_links(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): the pairs whose sets of shingles have a Jaccard similarity of `similarity` or more."""
+    hashes = WordHashes()
+
+    def run(batches):
+        known: dict[int, np.ndarray] = {}
+
+        def shingles(node: int, text) -> np.ndarray:
+            if node not in known:
+                if len(known) >= 100:
+                    known.clear()
+                known[node] = shingle_set((text.as_py() or "").encode(), shingle, hashes)
+            return known[node]
+
+        for batch in batches:
+            keep = []
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                u, v = shingles(a, x), shingles(b, y)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+
+    sides = pairs.select("a", "b").join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+    return sides.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int, into: list[str]) -> DataFrame:
+    """(a, b): links that join all nodes (node, sig, text_hash) that share a band and whose shingles are that similar.
+
+    Proposed are first the pairs of each band's group with the group's ends. Signatures drop pairs that are 4 standard errors under the
+    similarity; the rest is compared exactly: first each node's best pair, then all whose ends are not yet joined.
+    texts: (text_hash, text).
+    """
+    size = ROWS * BANDS
+    least = math.floor(size * similarity - 4 * math.sqrt(size * similarity * (1 - similarity)))
+    shared = staged(shared_bands(nodes), "bands", into=into)
+    used = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "text_hash")
+    wanted = used.select("text_hash").distinct()
+    texts = staged(texts.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]).join(used, "text_hash").select("node", "text"), "texts", into=into)
 
     def near(batches):
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most * 8 * x.shape[1] / total
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+                same = (_matrix(batch.column(2)) == _matrix(batch.column(3))).sum(axis=1, dtype=np.int32)
+                keep = pa.array(same >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(same).filter(keep)], names=["a", "b", "same"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        best = staged(pairs.groupBy("b").agg(F.max(F.struct("same", "a")).alias("x")).select(F.col("x.a").alias("a"), "b"), "best-pairs", into=into)
+        found = staged(exact_links(best, texts, similarity, shingle), "links", into=into)
+        label = staged(components(found), "labels", into=into)
+        ends = pairs.join(best, ["a", "b"], "left_anti").join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left")
+        open_ = ends.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        return found.unionByName(staged(exact_links(open_, texts, similarity, shingle), "links", into=into))
 
-    sides = pairs.join(wide.select(F.col("fp").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("fp").alias("b"), F.col("wide").alias("y")), "b")
-    return sides.select("a", "b", "x", "y").mapInArrow(near, "a long, b long")
+    ends = shared.select("node", F.explode(F.array("first", "last")).alias("end")).filter("node <> end")
+    star = ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+    sides = star.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
+    star = staged(sides.select("a", "b", "x", "y").mapInArrow(near, "a long, b long, same int"), "star-pairs", into=into)
+    return verified(star)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None, wide_shingle: int = 5) -> DataFrame:
     """(id_col, fingerprint long, component): a row per row of docs; component is the smallest id reachable over links.
 
     Fingerprints link at 2 bits or fewer, equal ones included; texts without words have fingerprint 0 and link like others.
-    With a similarity, documents also link whose sets of wide_shingle words are that similar, by wide fingerprints (found
-    with a probability of 0.9 or more at that similarity, and surer above it); texts without words have none.
+    With a similarity, documents also link whose sets of wide_shingle words have that Jaccard similarity, compared exactly;
+    pairs are proposed by bands of signatures, with a probability of 0.999 at a similarity of 0.8 and surer above it, the same
+    for each number of documents. Texts without words have no set.
     A null id can't be the smallest unless its whole component has none; repeated rows are repeated in the result. An empty
     table gives an empty result.
     """
     paths: list[str] = []
     source = docs.select(F.col(id_col), F.col(text_col))
     fp = fresh(source, "fp")
-    bits, bands = band_plan(docs.count(), similarity) if similarity is not None else (0, 0)
-    tables = -(-bits * bands // 64)
     hashes = WordHashes()
 
     def widen(batch: pa.RecordBatch) -> list:
         texts = utf8(batch.column(text_col))
-        out = [[fingerprint(t, shingle) for t in texts]]
-        if tables:
-            sets = (shingle_set(t, wide_shingle, hashes) for t in texts)
-            out.append([wide_fingerprint(s, tables) if len(s) else None for s in sets])
+        out: list[list] = [[fingerprint(t, shingle) for t in texts]]
+        if similarity is not None:
+            out += [[], []]
+            for t in texts:
+                s = shingle_set(t, wide_shingle, hashes)
+                out[1].append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
+                out[2].append(signature(s) if len(s) else None)
         return out
 
-    fields = [T.StructField(fp, T.LongType()), *[T.StructField(fresh(source, "wide"), T.BinaryType())] * bool(tables)]
-    own = add_columns(source, fields, widen, drop=(text_col,)).toDF(*[id_col, "fp", "wide"][: 2 + bool(tables)])
+    fields, names = [T.StructField(fp, T.LongType())], [id_col, "fp"]
+    if similarity is not None:
+        fields += [T.StructField(fresh(source, "node"), T.LongType()), T.StructField(fresh(source, "sig"), T.BinaryType())]
+        text_hash = fresh(source, "text_hash")
+        source, names = source.withColumn(text_hash, F.xxhash64(text_col)), [id_col, "text_hash", "fp", "node", "sig"]
+    own = add_columns(source, fields, widen, drop=(text_col,)).toDF(*names)
     own = staged(own, "fingerprints")
-    first = own.groupBy("fp").agg(F.min(id_col).alias("first"), *[F.max("wide").alias("wide")] * bool(tables))
-    first = staged(first, "distinct-fingerprints", into=paths)
+    first = staged(own.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct-fingerprints", into=paths)
     edges = links(first.select("fp"))
-    if tables:
-        edges = edges.unionByName(similar_links(first.filter("wide IS NOT NULL").select("fp", "wide"), similarity, bits, bands))
+    if similarity is not None:
+        # a node is a set of shingles; texts with one set can have several fingerprints, and a fingerprint several sets
+        sets = own.filter("node IS NOT NULL")
+        nodes = staged(sets.groupBy("node").agg(F.min("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.max("sig").alias("sig")), "nodes", into=paths)
+        equal = sets.select("fp", "node").distinct().join(nodes.select("node", F.col("fp").alias("b")), "node").filter("fp <> b").select(F.col("fp").alias("a"), "b")
+        texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+        similar = similar_links(nodes, texts, similarity, wide_shingle, paths)
+        of = lambda end: nodes.select(F.col("node").alias(end), F.col("fp").alias(f"fp_{end}"))
+        similar = similar.join(of("a"), "a").join(of("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+        edges = edges.unionByName(equal).unionByName(similar)
     groups = components(edges)
     # the smallest id of each group of linked fingerprints, then the group's id for each of its fingerprints
     grouped = first.join(groups, first.fp == groups.node)

@@ -97,3 +97,17 @@ def test_band_plan_grows_slowly():
     (b1, n1), (b2, n2) = simhash.band_plan(10**5, 0.8), simhash.band_plan(10**9, 0.8)
     assert b1 == 21 and b2 == 34 and n1 < n2 < 10 * n1
     assert simhash.bit_agreement(1.0) == 1.0 and abs(simhash.bit_agreement(0.0) - 0.5) < 1e-9
+
+
+def test_similarity_is_exact_at_its_border(spark):
+    """Sets of shingles just over and just under the similarity, far closer to it than an estimate could tell."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(364)]  # 360 shingles
+        rows += [(10 * i, w), (10 * i + 1, w[40:] + [f"x{j}" for j in range(40)]), (10 * i + 1000, w[41:] + [f"y{j}" for j in range(41)])]
+    docs = spark.createDataFrame([(a, " ".join(b)) for a, b in rows], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component for r in simhash.near_duplicates(docs.filter("doc_id % 10 < 2 AND doc_id < 1000"), similarity=0.8).collect()}
+    assert got == {i: i // 10 * 10 for i in got}
+    got = {r.doc_id: r.component for r in simhash.near_duplicates(docs.filter("doc_id % 10 = 0"), similarity=0.8).collect()}
+    assert got == {i: i for i in got}
