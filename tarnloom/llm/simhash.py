@@ -9,7 +9,8 @@ and the holders of the same value are linked in a star. A group of any size cost
 
 Two bits are far less than what near copies of prose differ in. Asked for a similarity, the operator also links documents
 whose sets of five-word shingles have that Jaccard similarity. Signatures of smallest shingles are cut into bands; a band's
-group proposes its members with its smallest and largest. The sets themselves decide.
+group proposes its members with its smallest and largest, and where that does not join the group, all pairs that are not
+joined. The sets themselves decide.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SEGMENTS, BITS = 16, 4
 _BLOCK = 1 << 16
 #: Smallest shingles in a band (a byte each), and bands: sets of Jaccard similarity 0.8 share one with a probability of 0.999.
 ROWS, BANDS = 8, 40
+#: Members of a mixed group on either side of a block.
+CHUNK = 512
 _FLIP, _ODD = np.random.default_rng(42).integers(0, 1 << 32, (2, ROWS * BANDS), np.uint32) | np.array([[0], [1]], np.uint32)
 
 
@@ -172,6 +175,53 @@ def shared_bands(nodes: DataFrame) -> DataFrame:
     return members.join(groups, "key")
 
 
+def mixed_pairs(shared: DataFrame, labels: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """(a, b, same): all pairs of a group whose labels differ and whose signatures agree in `least` bytes or more.
+
+    Groups of three have no pair without an end. In a larger one the members outside the most frequent label meet all others,
+    in blocks of about CHUNK by CHUNK, so a group of any size is dealt over many tasks.
+    """
+    some = shared.filter("n > 3").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("l"))
+    of = some.groupBy("key", "l").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "l")).alias("main")).filter("n > main.c")
+    some = some.join(of.select("key", F.ceil(F.col("n") / CHUNK).alias("all"), F.ceil((F.col("n") - F.col("main.c")) / CHUNK).alias("outer"), F.col("main.l").alias("main")), "key")
+    some = some.join(nodes.select("node", "sig"), "node")
+    till = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("node", "key"), F.col(n))
+    left = some.filter("l <> main").select("key", place("outer").alias("i"), till("all").alias("j"), F.lit(True).alias("is_outer"), "node", "l", "sig")
+    right = some.select("key", till("outer").alias("i"), place("all").alias("j"), F.lit(False).alias("is_outer"), "node", "l", "sig")
+
+    def meet(block: pa.Table):
+        outer = block.column("is_outer").to_numpy()
+        node, label, sig = block.column("node").to_numpy(), block.column("l").to_numpy(), _matrix(block.column("sig"))
+        xs, ys = np.flatnonzero(outer), np.flatnonzero(~outer)
+        for x in xs:
+            same = (sig[ys] == sig[x]).sum(axis=1, dtype=np.int32)
+            keep = (same >= least) & (label[ys] != label[x])
+            if keep.any():
+                mine, other = np.full(int(keep.sum()), node[x]), node[ys[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other)), pa.array(same[keep])], names=["a", "b", "same"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            k, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+            cuts = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            at = 0
+            for end in cuts.tolist():
+                yield from meet(t.slice(at, end - at))
+                at = end
+            held = t.slice(at)
+        if held is not None:
+            yield from meet(held)
+
+    rows = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(run, "a long, b long, same int").distinct()
+
+
 def exact_links(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(a, b): the pairs whose sets of shingles have a Jaccard similarity of `similarity` or more."""
     hashes = WordHashes()
@@ -201,7 +251,8 @@ def exact_links(pairs: DataFrame, texts: DataFrame, similarity: float, shingle:
 def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int, into: list[str]) -> DataFrame:
     """(a, b): links that join all nodes (node, sig, text_hash) that share a band and whose shingles are that similar.
 
-    Proposed are first the pairs of each band's group with the group's ends. Signatures drop pairs that are 4 standard errors under the
+    Proposed are first the pairs of each band's group with the group's ends. Groups that are not one component then have all
+    their pairs proposed whose ends are in different ones. Signatures drop pairs that are 4 standard errors under the
     similarity; the rest is compared exactly: first each node's best pair, then all whose ends are not yet joined.
     texts: (text_hash, text).
     """
@@ -231,7 +282,9 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle
     star = ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
     sides = star.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
     star = staged(sides.select("a", "b", "x", "y").mapInArrow(near, "a long, b long, same int"), "star-pairs", into=into)
-    return verified(star)
+    found = verified(star)
+    mixed = mixed_pairs(shared, staged(components(found), "labels", into=into), nodes, least)
+    return found.unionByName(verified(staged(mixed.join(star.select("a", "b"), ["a", "b"], "left_anti"), "mixed-pairs", into=into)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None, wide_shingle: int = 5) -> DataFrame:

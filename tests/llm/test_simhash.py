@@ -99,6 +99,21 @@ def test_band_plan_grows_slowly():
     assert simhash.bit_agreement(1.0) == 1.0 and abs(simhash.bit_agreement(0.0) - 0.5) < 1e-9
 
 
+def test_copies_in_a_mixed_group_link(spark):
+    """Near copies that share their bands with many texts which are like neither: no end of the group is near them."""
+    rng = random.Random(3)
+    say = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = say(150)
+    rows = [(i, " ".join(shared + say(50))) for i in range(1500)]
+    for i in range(60):
+        w = shared + say(50)
+        w2 = ["other" if j in (160, 175, 190) else x for j, x in enumerate(w)]
+        rows += [(2000 + 2 * i, " ".join(w)), (2001 + 2 * i, " ".join(w2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component for r in simhash.near_duplicates(docs, similarity=0.8).collect()}
+    assert [i for i in range(2000, 2120, 2) if got[i] != got[i + 1]] == []
+
+
 def test_similarity_is_exact_at_its_border(spark):
     """Sets of shingles just over and just under the similarity, far closer to it than an estimate could tell."""
     rng = random.Random(4)
