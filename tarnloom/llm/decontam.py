@@ -212,11 +212,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
         id_hash, text_hash = fresh(docs, "row_hash"), fresh(docs, "text_hash")
         keyed = docs.withColumns({id_hash: F.xxhash64(F.col(text_col)), text_hash: F.md5(F.col(text_col))})
         only = keyed.select(id_hash, text_hash, text_col)
-        hits = [against(only, b, (text_col,)).filter(F.size("hit_runs") > 0) for b in (second, *blocks)]
+        hits = [against(only, b, (text_col,)).filter(F.size("hit_runs") > 0).withColumn("block", F.lit(i)) for i, b in enumerate((second, *blocks))]
         rest = hits[0]
         for more in hits[1:]:
             rest = rest.unionByName(more)
-        rest = staged(rest.dropDuplicates([id_hash, text_hash, "hit_items"]), "item-hits").groupBy(id_hash, text_hash).agg(F.flatten(F.collect_list("hit_runs")).alias("more_runs"), F.flatten(F.collect_list("hit_items")).alias("more_items"))
+        rest = staged(rest.dropDuplicates([id_hash, text_hash, "block"]), "item-hits").groupBy(id_hash, text_hash).agg(F.flatten(F.collect_list("hit_runs")).alias("more_runs"), F.flatten(F.collect_list("hit_items")).alias("more_items"))
         out = against(keyed, first).join(rest, [id_hash, text_hash], "left").drop(id_hash, text_hash)
         empty = F.array().cast(fields[1].dataType)
         joined = F.array_sort(F.concat("hit_runs", F.coalesce("more_runs", empty)))

@@ -55,3 +55,11 @@ def test_equal_texts_choose_equal_fingerprints():
         a = np.concatenate([rng.integers(0, 1 << 63, rng.integers(0, 9)).astype(np.uint64), shared, rng.integers(0, 1 << 63, rng.integers(0, 9)).astype(np.uint64)])
         ga, gs = decontam.grams(a, 5), decontam.grams(shared, 5)
         assert set(gs[decontam.chosen(gs, 6)].tolist()) & set(ga[decontam.chosen(ga, 6)].tolist())
+
+
+def test_blocks_with_equal_ids_keep_their_hits(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(12)) for x in "abcde"]
+    items = spark.createDataFrame([("first", texts[0]), (None, texts[1]), (None, texts[2]), ("x", texts[3]), ("x", texts[4])], "item_id string, text string").coalesce(1)
+    docs = spark.createDataFrame([(1, " and ".join(texts)), (1, " and ".join(texts)), (2, "none")], "doc_id long, text string")
+    got = [sorted((r.doc_id, r.n_hit, r.hit_items) for r in decontam.contamination(docs, items, block_bytes=n).collect()) for n in (1 << 20, 8)]
+    assert got[0] == got[1] == [(1, 60, ["first", "x"])] * 2 + [(2, 0, [])]
