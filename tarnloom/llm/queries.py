@@ -65,7 +65,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    out = lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+    out = lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"), good, keep=["doc_id"])
     return out.select("doc_id", "n_tokens", "loss_target", "loss_background", "lm_score")
 
 
