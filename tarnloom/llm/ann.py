@@ -1,13 +1,16 @@
 """Approximate nearest neighbours by few Gaussian (2-stable) projections, kd-trees over them and a chi-square stopping test.
 
 A vector's projected squared distance to the query, over its true one, is distributed as chi-square with `dims` degrees. Projected
-neighbours are therefore visited nearest first and verified with the true measure; a search stops when, of a vector as near
-as the current k-th best, the projection would have been seen by now with probability `confidence`.
+neighbours are therefore verified nearest first, a few more at a time; a search stops when, of a vector as near as the
+current k-th best, the projection would have been seen by now with probability `confidence`. A higher confidence verifies
+more and misses less: near the border a share of 1 - confidence is lost, and little of what is much nearer.
 
+Where lengths differ much, the largest products belong to vectors that are far away, and little can be left out.
 Largest inner product is turned into nearest distance by one more component, sqrt(M^2 - |x|^2) with M the largest norm.
-Two levels of kd-tree: an upper one, cut from a bounded sample, deals all vectors to blocks of about block_rows; in each
-block a lower one has leaves of LEAF vectors. A block is one row. The upper level's boxes (a few numbers a block) go to all
-executors; queries visit their nearest block first, then the blocks that the stopping test leaves.
+Two levels of kd-tree: an upper one, cut from a bounded sample, deals all vectors to MOST_CELLS cells at most, and the vectors
+of a cell by hash to blocks of about block_rows; in each block a lower tree has leaves of LEAF vectors. A block is one row. The
+cells' boxes (a few numbers a cell) go to all executors; queries visit the blocks of their nearest cell first, then those
+of the cells that the stopping test leaves.
 
 Equal vectors are one point that keeps its k + 1 smallest ids, which is all that ties to the smaller id can ask for.
 """
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 LEAF = 64
-#: Points from which the upper tree is cut, about (more if it has over 2,500 blocks); blocks at most, so that the boxes sent to all executors have a fixed size.
-SAMPLE, MOST_BLOCKS = 20_000, 65_536
+#: Points from which the upper tree is cut, about; its cells at most, so that what the driver holds and sends has a fixed size.
+SAMPLE, MOST_CELLS = 20_000, 4096
 
 
 def chi_square_cdf(x: float, even: int) -> float:
@@ -97,52 +100,41 @@ def box_distance(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(q: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, leaves: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, keep: int, far2: float, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """The `keep` rows of x with the largest inner products found, and those products, for each query (-1: none).
+def search(q: np.ndarray, qp: np.ndarray, bound: float, x: np.ndarray, p: np.ndarray, ends: np.ndarray, gap: np.ndarray, keep: int, far2: float, limit: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of one query: the rows of x with the `keep` largest inner products found (and all that tie with the last), those
+    products, and how many rows were verified.
 
-    bound: a squared distance that is known to hold k better candidates (inf: none). far2: M^2.
+    x: vectors; p: their projections; ends: where the leaves end, in rows; gap: the leaves' projected squared distances to the
+    query. bound: a squared distance that is known to hold enough better candidates (inf: none). far2: M^2.
     """
-    n = len(q)
-    best = np.full((n, keep), -np.inf)
-    rows = np.full((n, keep), -1, np.int64)
-    gap = box_distance(qp, lo, hi)
-    order = np.argsort(gap, axis=1, kind="stable")
-    ranked = np.take_along_axis(gap, order, 1)
-    norm2 = (q * q).sum(axis=1)
-    at, step = 0, 2
-    while at < len(leaves):
-        # the largest true distance that still counts; the leaf boxes are in order, so what fails now fails later too
-        kth2 = np.minimum(np.where(np.isneginf(best[:, -1]), np.inf, norm2 + far2 - 2 * best[:, -1]), bound)
-        part = slice(at, at + step)
-        todo = ranked[:, part] <= limit * np.maximum(kth2, 0)[:, None]
-        if not todo.any():
-            break
-        which, place = np.nonzero(todo)
-        leaf = order[:, part][which, place]
-        by = np.argsort(leaf, kind="stable")
-        which, leaf = which[by], leaf[by]
-        cuts = np.flatnonzero(np.diff(leaf, prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(leaf)], strict=True):
-            own, members = which[a:b], leaves[leaf[a]]
-            score = np.concatenate([best[own], q[own] @ x[members].T], axis=1)
-            names = np.concatenate([rows[own], np.broadcast_to(members, (len(own), len(members)))], axis=1)
-            top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-            score, names = np.take_along_axis(score, top, 1), np.take_along_axis(names, top, 1)
-            last = score.argmin(axis=1)  # the smallest goes last: it is the one the stopping test needs
-            for y in (score, names):
-                r = np.arange(len(own))
-                y[r, last], y[:, -1] = y[:, -1].copy(), y[r, last].copy()
-            best[own], rows[own] = score, names
-        at, step = at + step, step * 2
-    return rows, best
+    leaves = np.flatnonzero(gap <= limit * bound)
+    begin = ends[leaves] - np.diff(ends, prepend=0)[leaves]
+    size = ends[leaves] - begin
+    rows = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+    near = ((p[rows] - qp) ** 2).sum(axis=1)
+    some = near <= limit * bound
+    rows, near = rows[some], near[some]
+    order = np.argsort(near, kind="stable")
+    rows, near = rows[order], near[order]
+    score = np.zeros(0)
+    norm2, at, step = float(q @ q), 0, 4 * keep
+    while at < len(rows) and near[at] <= limit * max(bound, 0.0):
+        part = rows[at : at + step][near[at : at + step] <= limit * max(bound, 0.0)]
+        score = np.append(score, products(np.broadcast_to(q, (len(part), len(q))), x[part]))
+        at += len(part)
+        if at >= keep:
+            bound = min(bound, norm2 + far2 - 2 * float(np.partition(score, at - keep)[at - keep]))
+        step *= 2
+    found = rows[:at]
+    if at > keep:
+        best = score >= np.partition(score, at - keep)[at - keep]
+        found, score = found[best], score[best]
+    return found, score, at
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products row by row, summed in the order of the components: equal vectors give equal doubles."""
-    out = np.zeros(len(q))
-    for d in range(q.shape[1]):
-        out += q[:, d] * x[:, d]
-    return out
+    return np.add.accumulate(q * x, axis=1)[:, -1] if len(x) else np.zeros(0)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -154,8 +146,9 @@ def pack_arrays(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, dims: int = 8, confidence: float = 0.98, block_rows: int = 4096, chunk: int = 1024, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest found among all other rows, by inner product in double precision.
+def nearest(vectors: DataFrame, is_query, k: int = 20, dims: int = 24, confidence: float = 0.9, block_rows: int = 4096, chunk: int = 1024, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score, verified): each query's k nearest found among all other rows, by inner product in double
+    precision; verified: how many vectors its search has compared truly.
 
     is_query: a condition on id_col. Vectors that are null, zero, of another length than most, or hold null or non-finite
     components take no part, nor do null ids. Repeated rows count once; an id with several vectors takes part with each, and
@@ -166,17 +159,17 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, dims: int = 8, confidence
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
     fine = raw.filter(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))) & F.exists("v", lambda c: c != 0))
     lengths = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not lengths:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, verified long")
     dim = lengths[0].n
     fine = staged(fine.filter(F.size("v") == dim).distinct(), "vectors")
-    ranked = fine.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
-    points = staged(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "points")
+    firsts = fine.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
+    points = staged(firsts.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "points")
     n, far2 = points.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))).first()
     directions = projection(dim, dims, seed)
     limit = chi_square_point(confidence, dims)
-    blocks = math.ceil(n / max(block_rows, math.ceil(n / MOST_BLOCKS)))  # beyond MOST_BLOCKS the blocks grow instead
+    cells = min(MOST_CELLS, math.ceil(n / block_rows))
+    parts = math.ceil(n / (1 << max(0, math.ceil(math.log2(cells)))) / block_rows)
 
     def projected(v: np.ndarray) -> np.ndarray:
         return np.hstack([v, np.sqrt(np.maximum(far2 - (v * v).sum(axis=1), 0))[:, None]]) @ directions
@@ -186,39 +179,42 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, dims: int = 8, confidence
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(projected(matrix(b.column("v"))).tolist())], names=["p"])
 
-    # about SAMPLE points, or eight a block: those with a small hash
-    share = min(1.0, max(SAMPLE, 8 * blocks) / n)
+    # about SAMPLE points: those with a small hash
+    share = min(1.0, SAMPLE / n)
     some = points.select("v").filter(F.xxhash64("v") <= round(-(1 << 63) + share * ((1 << 64) - 1025)))
-    heap = splits(np.array([r.p for r in some.mapInArrow(seen, "p array<double>").collect()]).reshape(-1, dims), blocks)
+    heap = splits(np.array([r.p for r in some.mapInArrow(seen, "p array<double>").collect()]).reshape(-1, dims), cells)
 
     def dealt(batches):
         for b in batches:
             if b.num_rows:
                 at = block_of(projected(matrix(b.column("v"))), heap)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=["v", "ids", "block"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=["v", "ids", "part", "cell"])
 
     def built(table: pa.Table) -> pa.Table:
         v = matrix(table.column("v").combine_chunks())
         p = projected(v)
         leaves = leaf_order(p)
         order = np.concatenate(leaves)
-        sizes = np.array([len(x) for x in leaves])
         lo, hi = np.array([p[x].min(axis=0) for x in leaves]), np.array([p[x].max(axis=0) for x in leaves])
         ids = table.column("ids").combine_chunks().take(pa.array(order))
-        blob = pack_arrays(v=v[order], sizes=sizes, lo=lo, hi=hi, ids=ids.flatten().to_numpy(), count=np.diff(ids.offsets.to_numpy()))
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "lo": pa.array([lo.min(axis=0).tolist()]), "hi": pa.array([hi.max(axis=0).tolist()]), "tree": pa.array([blob], pa.binary())})
-
-    index = staged(points.mapInArrow(dealt, "v array<double>, ids array<long>, block long").groupBy("block").applyInArrow(built, "block long, lo array<double>, hi array<double>, tree binary"), "index")
-    rows = index.select("block", "lo", "hi").orderBy("block").collect()  # n / block_rows rows of 2 * dims numbers
-    names = np.array([r.block for r in rows])
-    lows, highs = np.array([r.lo for r in rows]), np.array([r.hi for r in rows])
+        blob = pack_arrays(v=v[order], p=p[order], ends=np.cumsum([len(x) for x in leaves]), lo=lo, hi=hi, ids=ids.flatten().to_numpy(), count=np.diff(ids.offsets.to_numpy()))
+        return pa.table({"cell": table.column("cell")[:1], "part": table.column("part")[:1], "lo": pa.array([lo.min(axis=0).tolist()]), "hi": pa.array([hi.max(axis=0).tolist()]), "tree": pa.array([blob], pa.binary())})
+
+    part = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(parts))
+    placed = points.withColumn("part", part).mapInArrow(dealt, "v array<double>, ids array<long>, part long, cell long")
+    index = staged(placed.groupBy("cell", "part").applyInArrow(built, "cell long, part long, lo array<double>, hi array<double>, tree binary"), "index")
+    # a row for each cell and direction, whatever the number of blocks
+    sides = index.select("cell", F.posexplode(F.arrays_zip("lo", "hi")).alias("at", "x")).groupBy("cell", "at").agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
+    rows = sides.orderBy("cell", "at").toArrow()
+    names = rows.column("cell").to_numpy()[::dims]
+    lows, highs = (rows.column(c).to_numpy().reshape(-1, dims) for c in ("lo", "hi"))
     boxes = spark.sparkContext.broadcast((names, lows, highs))
     queries = fine.filter(is_query(F.col("id")))
     chunks = max(1, math.ceil(queries.count() / chunk))
     queries = queries.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
-    sent = "id long, v array<double>, chunk int, bound double, block long"
+    sent = "id long, v array<double>, chunk int, bound double, cell long"
 
-    def to_blocks(first: bool):
+    def to_cells(first: bool):
         def run(batches):
             names, lows, highs = boxes.value
             for whole in batches:
@@ -228,55 +224,60 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, dims: int = 8, confidence
                     gap = box_distance(np.hstack([v, np.zeros((len(v), 1))]) @ directions, lows, highs)
                     nearest = gap.argmin(axis=1)
                     if first:
-                        row, block, bound = np.arange(len(v)), nearest, np.full(len(v), np.inf)
+                        row, cell, bound = np.arange(len(v)), nearest, np.full(len(v), np.inf)
                     else:
                         bound = b.column("bound").to_numpy()
                         todo = gap <= limit * np.maximum(bound, 0)[:, None]
                         todo[np.arange(len(v)), nearest] = False
-                        row, block = np.nonzero(todo)
+                        row, cell = np.nonzero(todo)
                         bound = bound[row]
                     take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("v").take(take), b.column("chunk").take(take), pa.array(bound), pa.array(names[block])], names=["id", "v", "chunk", "bound", "block"])
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(take), b.column("v").take(take), b.column("chunk").take(take), pa.array(bound), pa.array(names[cell])], names=["id", "v", "chunk", "bound", "cell"])
 
         return run
 
     def packed(table: pa.Table) -> pa.Table:
         q = pack_arrays(id=table.column("id").to_numpy(), v=matrix(table.column("v").combine_chunks()), bound=table.column("bound").to_numpy())
-        return pa.table({"block": table.column("block")[:1], "chunk": table.column("chunk")[:1], "q": pa.array([q], pa.binary())})
+        return pa.table({"cell": table.column("cell")[:1], "chunk": table.column("chunk")[:1], "q": pa.array([q], pa.binary())})
 
     def searched(batches):
         for b in batches:
             for q_blob, tree_blob in zip(b.column("q"), b.column("tree"), strict=True):
                 q, t = np.load(io.BytesIO(q_blob.as_py())), np.load(io.BytesIO(tree_blob.as_py()))
-                v, x = q["v"], t["v"]
-                ends = np.cumsum(t["sizes"])
-                leaves = [np.arange(e - s, e) for s, e in zip(t["sizes"], ends, strict=True)]
-                found, _ = search(v, np.hstack([v, np.zeros((len(v), 1))]) @ directions, q["bound"], x, leaves, t["lo"], t["hi"], k + 9, far2, limit)
-                row, col = np.nonzero(found >= 0)
-                point = found[row, col]
-                score = products(v[row], x[point])
-                count, begin = t["count"], np.cumsum(t["count"]) - t["count"]
-                each = count[point]
-                inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                row, score, ids = np.repeat(row, each), np.repeat(score, each), t["ids"][np.repeat(begin[point], each) + inside]
-                other = ids != q["id"][row]
-                row, score, ids = row[other], score[other], ids[other]
-                order = np.lexsort((ids, -score, row))
-                row, score, ids = row[order], score[order], ids[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                top = place < k
-                yield pa.RecordBatch.from_arrays([pa.array(q["id"][row[top]]), pa.array(ids[top]), pa.array(score[top]), pa.array(np.full(int(top.sum()), 1) * 1)], names=["query_id", "vec_id", "score", "one"])
+                v, x, p, ends, count, ids = q["v"], t["v"], t["p"], t["ends"], t["count"], t["ids"]
+                begin = np.cumsum(count) - count
+                qp = np.hstack([v, np.zeros((len(v), 1))]) @ directions
+                gap = box_distance(qp, t["lo"], t["hi"])
+                out = []
+                for i, (query, bound) in enumerate(zip(q["id"].tolist(), q["bound"].tolist(), strict=True)):
+                    # one more than k: the query's own vector can be among them
+                    point, score, verified = search(v[i], qp[i], bound, x, p, ends, gap[i], k + 1, far2, limit)
+                    each = count[point]
+                    own = ids[np.repeat(begin[point] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+                    score = np.repeat(score, each)[own != query]
+                    own = own[own != query]
+                    top = np.lexsort((own, -score))[:k]
+                    # the count goes with the first row, or alone
+                    out.append((np.full(max(1, len(top)), query), pa.array(own[top]) if len(top) else pa.nulls(1, pa.int64()), pa.array(score[top]) if len(top) else pa.nulls(1, pa.float64()), np.append(verified, np.zeros(max(0, len(top) - 1), np.int64))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out])), pa.concat_arrays([o[1] for o in out]), pa.concat_arrays([o[2] for o in out]), pa.array(np.concatenate([o[3] for o in out]))], names=["query_id", "vec_id", "score", "verified"])
 
     def visited(source: DataFrame, first: bool) -> DataFrame:
-        pairs = source.mapInArrow(to_blocks(first), sent).groupBy("block", "chunk").applyInArrow(packed, "block long, chunk int, q binary")
-        both = pairs.join(index.select("block", "tree"), "block").repartition(F.col("block"), F.col("chunk"))
-        return both.select("q", "tree").mapInArrow(searched, "query_id long, vec_id long, score double, one long").drop("one")
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = lambda df: df.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    one = staged(ranked(visited(queries.withColumn("bound", F.lit(float("inf"))), True)).drop("rank"), "first-block")
-    kth = one.groupBy("query_id").agg(F.min("score").alias("s"), F.count("*").alias("n"))
+        pairs = source.mapInArrow(to_cells(first), sent).groupBy("cell", "chunk").applyInArrow(packed, "cell long, chunk int, q binary")
+        both = pairs.join(index.select("cell", "part", "tree"), "cell").repartition(F.col("cell"), F.col("part"), F.col("chunk"))
+        return both.select("q", "tree").mapInArrow(searched, "query_id long, vec_id long, score double, verified long")
+
+    order = Window.partitionBy("query_id").orderBy(F.col("vec_id").isNull(), F.desc("score"), "vec_id")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        """The k best rows of a query with its sum of verified; a query that has found nothing keeps a row without vec_id."""
+        rows = found.groupBy("query_id", "vec_id", "score").agg(F.sum("verified").alias("verified"))
+        total = F.sum("verified").over(Window.partitionBy("query_id"))
+        return rows.withColumns({"rank": F.row_number().over(order), "verified": total}).filter(F.col("rank") <= k)
+
+    one = staged(ranked(visited(queries.withColumn("bound", F.lit(float("inf"))), True)), "first-cell")
+    kth = one.groupBy("query_id").agg(F.min("score").alias("s"), F.count("vec_id").alias("n"))
     known = F.when(F.col("n") >= k, F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c) + F.lit(float(far2)) - 2 * F.col("s")).otherwise(F.lit(float("inf")))
     second = queries.join(kth.withColumnRenamed("query_id", "id"), "id", "left").select("id", "v", "chunk", known.alias("bound"))
-    out = ranked(one.unionByName(visited(second, False)))
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    before = one.select("query_id", "vec_id", "score", F.when(F.col("rank") == 1, F.col("verified")).otherwise(0).alias("verified"))
+    out = ranked(before.unionByName(visited(second, False)))
+    return out.filter("vec_id IS NOT NULL").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", "verified")
