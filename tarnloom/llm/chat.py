@@ -37,11 +37,12 @@ def branches(messages: DataFrame, top: int | None = None) -> DataFrame:
 
     messages: node (unique, not null), parent (null or unknown: a root), score (null: 0). branch is the path's leaf, tree its
     root. A tree's branches are ranked by the mean score on the path (equal ones by leaf); the first `top` are kept, or all.
-    Messages on a cycle of replies have no root and are in no branch. A message that is repeated counts once.
+    Messages on a cycle of replies have no root and are in no branch. Of a repeated node the row with the smallest parent
+    (nulls first), then score, counts.
     """
     paths: list[str] = []
-    nodes = messages.select("node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")).dropDuplicates(["node"])
-    nodes = staged(nodes, "messages", into=paths)
+    nodes = messages.groupBy("node").agg(F.min(F.struct("parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))).alias("m"))
+    nodes = staged(nodes.select("node", "m.parent", "m.score"), "messages", into=paths)
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
     # up: the ancestor so many replies above (null beyond the root); root: the last one seen; depth and total on the way
     base = nodes.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("up"), "score")
@@ -83,19 +84,25 @@ def conversations(messages: DataFrame, top: int | None = 1, loss_role: str = "as
 
     messages: node, parent, score, role, text. Null roles and texts are empty. loss_spans lists the texts of loss_role:
     turn (from 0), start (code points from the start of formatted), offset (from the start of the turn) and length, of the
-    escaped text. See branches() for repeated messages, ties and cycles; an empty table gives an empty result.
+    escaped text. Of a repeated node the smallest row (by parent, score, role, text) counts, whole. See branches() for ties and
+    cycles; an empty table gives an empty result.
     """
-    own = messages.dropDuplicates(["node"]).select("node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = branches(messages, top).join(own, "node")
+    empty = F.lit("")
+    whole = F.struct("parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+    # one row a node, all of it from the same message; it is read once for the paths and once for the texts
+    own = staged(messages.groupBy("node").agg(F.min(whole).alias("m")).select("node", "m.*"), "nodes")
+    turns = branches(own, top).join(own.select("node", "role", "text"), "node")
     role, text = escape(F.col("role"), ROLE_ESCAPES), escape(F.col("text"))
     head = F.concat(F.lit(OPEN), role, F.lit(SEPARATOR))
     turns = turns.select("tree", "branch", "rank", "depth", F.concat(head, text, F.lit(CLOSE)).alias("block"), F.length(head).alias("offset"), F.length(text).alias("length"), (F.col("role") == loss_role).alias("loss"))
     before = Window.partitionBy("tree", "branch").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("start", F.coalesce(F.sum(F.length("block")).over(before), F.lit(0)).cast("long") + F.col("offset"))
     whole = turns.groupBy("tree", "branch", "rank").agg(F.array_sort(F.collect_list(F.struct("depth", "block", "start", "offset", "length", "loss"))).alias("t"))
-    numbered = F.transform("t", lambda x, i: F.struct(i.alias("turn"), x["start"].alias("start"), x["offset"].alias("offset"), x["length"].alias("length"), x["loss"].alias("loss")))
-    spans = F.transform(F.filter(numbered, lambda s: s["loss"]), lambda s: F.struct(*[s[n].alias(n) for n in ("turn", "start", "offset", "length")]))
-    return whole.select("tree", "branch", "rank", F.size("t").cast("long").alias("n_turns"), F.concat_ws("", F.transform("t", lambda x: x["block"])).alias("formatted"), spans.alias("loss_spans"))
+    names = ("start", "offset", "length")
+    numbered = F.transform("t", lambda x, i: F.struct(i.alias("turn"), *[x[n].alias(n) for n in (*names, "loss")]))
+    spans = F.transform(F.filter(numbered, lambda s: s["loss"]), lambda s: F.struct(*[s[n].alias(n) for n in ("turn", *names)]))
+    formatted = F.concat_ws("", F.transform("t", lambda x: x["block"]))
+    return whole.select("tree", "branch", "rank", F.size("t").cast("long").alias("n_turns"), formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def parsed(formatted: Column) -> Column:

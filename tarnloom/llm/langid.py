@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,18 +79,21 @@ class Model:
         return np.where(allowed.any(axis=1)[:, None], np.maximum(s, -12.0), 0.0)
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 3000, max_grams: int = 30_000) -> Model | None:
-    """Fit on max_docs labelled rows at most and keep the max_grams most frequent n-grams.
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = 1500) -> Model | None:
+    """Fit on max_docs different labelled texts of each language at most, whole: those with the smallest hashes.
 
-    The rows are those with the smallest hashes of their text, whole; a threshold that about twice as many rows pass keeps
-    all others where they are.
-
-    Rows with null text or language are not used. None if nothing is left to learn from.
+    A threshold that about twice as many texts pass keeps all others where they are. All n-grams of these texts are kept, so the
+    model's size has a bound that max_docs and the number of languages give. Rows with null text or language are not used.
+    None if nothing is left to learn from.
     """
     some = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    share = min(1.0, 2 * max_docs / max(1, some.count()))
     hashed = some.withColumn("h", F.xxhash64("text", "lang"))
-    some = hashed.filter(F.col("h") <= round(-(1 << 63) + share * ((1 << 64) - 1025))).orderBy("h").limit(max_docs).drop("h")
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    share = F.least(F.lit(1.0), 2.0 * max_docs / F.col("n"))
+    most = sizes.select("lang", (-float(1 << 63) + share * float((1 << 64) - 1025)).cast("long").alias("most"))
+    passed = hashed.join(F.broadcast(most), "lang").filter(F.col("h") <= F.col("most")).dropDuplicates(["lang", "h"])  # a row a language
+    ranked = passed.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    some = ranked.filter(F.col("r") <= max_docs).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -107,7 +110,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([found[k] for k in keys], pa.int64())], names=["lang", "kind", "key", "n"])
 
     counts = some.mapInArrow(count, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    by_key = counts.groupBy("kind", "key").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")).orderBy(F.desc("kind"), F.desc("total"), "key").limit(max_grams).collect()
+    by_key = counts.groupBy("kind", "key").agg(F.collect_list(F.struct("lang", "n")).alias("by")).collect()
     langs = sorted({x.lang for r in by_key for x in r.by})
     if not langs:
         return None
@@ -138,7 +141,7 @@ class Decoder:
                 return at
 
         self.known = Known()
-        self.scores, self.letters = np.zeros((0, len(self.model.langs))), np.zeros(0, np.int64)
+        self.scores, self.letters, self.placed = np.zeros((0, len(self.model.langs))), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def codes(self, text: str) -> np.ndarray:
         words = _WORD.findall(text.lower())
@@ -150,7 +153,9 @@ class Decoder:
             letters = np.array([sum(map(str.isalpha, w)) for w in self.new], np.int64)
             scores = np.vstack([self.model.words(self.new[i : i + 20_000]) for i in range(0, len(self.new), 20_000)])
             scores[letters == 0] = 0
+            known = self.model.allowed[[self.model.scripts.get(script(w), -1) for w in self.new]].any(axis=1)
             self.scores, self.letters = np.vstack([self.scores, scores]), np.append(self.letters, letters)
+            self.placed = np.append(self.placed, letters * known)  # letters of words in a script that some language has
             self.new.clear()
 
     def labels(self, docs: list[np.ndarray]) -> list[np.ndarray]:
@@ -211,7 +216,7 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = 8.0, spans:
     """docs plus lang_pred and score, and with spans also lang_spans (array of begin, end, lang in code points).
 
     lang_pred labels most letters (ties: the first by name); score is the share of letters that it labels, so mixed text
-    scores lower. Null text, text without a letter, or no model: "und" with score 0. Columns of docs with these names are
+    scores lower. Words in a script that no learned language has count for none: a text of nothing else scores 0. Null text, text without a letter, or no model: "und" with score 0. Columns of docs with these names are
     replaced.
     """
     docs = docs.drop("lang_pred", "score", *["lang_spans"] * spans)
@@ -235,8 +240,8 @@ def identify(docs: DataFrame, model: Model | None, penalty: float = 8.0, spans:
             rows = order[a:b].tolist()
             codes = [decoder.codes(column[i].as_py() or "") for i in rows]
             for i, c, label in zip(rows, codes, decoder.labels(codes), strict=True):
-                letters = np.bincount(label, decoder.letters[c], len(langs)) if len(c) else np.zeros(1)
-                total = letters.sum()
+                letters = np.bincount(label, decoder.placed[c], len(langs)) if len(c) else np.zeros(1)
+                total = decoder.letters[c].sum()
                 if total:
                     top = int(letters.argmax())
                     pred[i], score[i] = langs[top], float(letters[top] / total)

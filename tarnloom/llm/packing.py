@@ -17,18 +17,22 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import slices, staged
 
 #: The byte-level BPE's way to cut a text into pieces that are merged each on its own (fixed value, of the public vocabulary).
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Other characters than these (letters and signs up to U+024F and general punctuation, which all libraries class alike), or a
-#: special token's beginning: such texts are encoded by the tokenizer itself.
-_ODD = re.compile("[^\\t-\\r -~¡-ɏ‐-‧]|<\\|")
+#: Other characters than these (letters and signs up to U+024F and general punctuation, which all libraries class alike), a
+#: special token's beginning, or a run of white space that the fast encoder's pattern may not get through: such texts are
+#: encoded by the tokenizer itself.
+_ODD = re.compile("[^\\t-\\r -~¡-ɏ‐-‧]|<\\||[\\s\\x1c-\\x1f\\x85\\xa0]{2000}")
+#: Bytes of text, or of ids, that a task turns into one batch of rows, about.
+_BATCH = 4 << 20
 
 
 def byte_ranks(spec: dict) -> dict[bytes, int] | None:
@@ -92,8 +96,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "d
         encoder, part, at = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                some = batch.slice(begin, 512)
+            for begin, end in slices((pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy() + 64).tolist(), _BATCH):
+                some = batch.slice(begin, end - begin)
                 ids = [x.astype("<u4").tobytes() + last for x in map(encoder.ids, (x or "" for x in some.column(1).to_pylist()))]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = at + np.cumsum(n) - n
@@ -121,8 +125,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, w
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                some = batch.slice(begin, 512)
+            for begin, end in slices((pc.binary_length(batch.column(2)).to_numpy() + 64).tolist(), _BATCH):
+                some = batch.slice(begin, end - begin)
                 at = some.column(1).to_numpy()
                 ids = some.column(2).to_pylist()
                 n = np.array([len(x) // 4 for x in ids], np.int64)

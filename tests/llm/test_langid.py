@@ -34,6 +34,24 @@ def test_hard_rows(spark):
     assert langid.identify(spark.createDataFrame([], "text string"), m).count() == 0
 
 
+def test_unseen_scripts_score_nothing(spark):
+    rows = [(t, lang) for lang, text in (("en", EN), ("fr", FR)) for t in [text, text[:60]]]
+    m = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    got = langid.identify(spark.createDataFrame([(RU,), ("привет мир",), (EN + " " + RU,)], "text string").coalesce(1), m).collect()
+    assert all(r.lang_pred in m.langs for r in got) and [r.score for r in got[:2]] == [0.0, 0.0]
+    letters = [sum(map(str.isalpha, t)) for t in (EN, RU)]
+    assert got[2].lang_pred == "en" and np.isclose(got[2].score, letters[0] / sum(letters))
+
+
+def test_each_language_is_sampled(spark):
+    """A third of the rows is one text; a rare language is learned all the same, and each text counts once."""
+    rows = [(EN, "en")] * 600 + [(f"{EN[i % 50 :]} number {i}", "en") for i in range(600)] + [(FR, "fr")] * 3
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    m = langid.learn(docs, max_docs=40)
+    assert m.langs == ["en", "fr"]
+    assert langid.identify(spark.createDataFrame([(FR,)], "text string"), m).first().lang_pred == "fr"
+
+
 def test_decoding_against_all_paths(spark):
     m = model(spark)
     decoder = langid.Decoder(m, 2.0)

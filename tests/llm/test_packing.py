@@ -61,3 +61,12 @@ def test_random_texts_against_the_tokenizer():
     for _ in range(3000):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
         assert encoder.ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_long_runs_of_one_kind():
+    from tokenizers import Tokenizer
+
+    tok, encoder = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    n = 1_000_000
+    for text in (" " * n, "\n" * n, "x" + "\t " * n + "y", " " * n + "word", "a " + "\xa0" * 300_000, "." * 100_000, "a" * 100_000):
+        assert encoder.ids(text).tolist() == tok.encode(text, add_special_tokens=False).ids, (text[:3], len(text))
