@@ -51,8 +51,8 @@ def test_stages_against_brute_force(spark, tmp_path):
     left = {10**9 if i is None else i for i in kept[2]}
     assert {rows[min(g)][0] for g in names.values()} <= left <= {rows[min(g)][0] for g in strict.values()}
 
-    items = decontam.Items([(r.item_id, (r.text or "").encode()) for r in table(spark, SF, "benchmark").collect()], 10, 5)
-    windows = {tuple(w[j : j + min(10, len(w))]) for w in items.words if w for j in range(max(1, len(w) - 9))}
+    items = [decontam.words((r.text or "").encode()) for r in table(spark, SF, "benchmark").collect()]
+    windows = {tuple(w[j : j + min(10, len(w))]) for w in items if w for j in range(max(1, len(w) - 9))}
     for i, r in kept[2].items():
         w = decontam.words(r["text"].encode())
         hit = any(tuple(w[j : j + n]) in windows for n in {len(x) for x in windows} for j in range(len(w) - n + 1))
