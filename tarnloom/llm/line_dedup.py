@@ -1,13 +1,16 @@
 """Line dedup: levelled sorted runs of line hashes.
 
-A run holds, sorted by hash, (h, n): a line key's 128-bit hash and the documents it was found in. Each batch of documents
-is merge-anti-joined with the runs (keys that a run already proves frequent need no more counting) and adds its own run at
-level 0. When a level holds `fanout` runs they are merged into one run of the next level. What a lookup reads is therefore
-at most fanout runs a level, and each key is rewritten once a level.
+A run holds, in buckets by hash and sorted in each, (h, n): a line key's 128-bit hash and the documents it was found in. Each
+batch of documents is merge-anti-joined with the runs (keys that a run already proves frequent need no more counting) and
+adds its own run at level 0. When a level holds `fanout` runs they are merged into one run of the next level. What a lookup
+reads is therefore at most fanout runs a level, and each key is rewritten once a level.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +19,7 @@ from pyspark.sql import types as T
 
 from .common import WS, add_columns, fresh, new_path, remove, staged, utf8
 
-RUN = T.StructType([T.StructField("h", T.BinaryType()), T.StructField("n", T.LongType())])
+RUN = T.StructType([T.StructField("h", T.BinaryType()), T.StructField("n", T.LongType())])  # what a run holds
 _STRIP = WS.encode()
 
 
@@ -30,46 +33,68 @@ def key_hash(key: bytes) -> bytes:
 
 
 class LineRuns:
-    """The runs, in a shared folder. min_docs: documents from which a key is frequent; fanout: runs of a level before it is compacted."""
+    """The runs, as bucketed and sorted tables. min_docs: documents from which a key is frequent; fanout: runs of a level
+    before it is compacted; buckets: of every run, one sorted file each.
+
+    As all runs are bucketed by h alike, merging them and anti-joining a batch with them moves no row of a run: the plans are
+    sort-merge joins over the runs' own buckets, and a batch is shuffled once.
+    """
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3, path: str | None = None):
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3, path: str | None = None, buckets: int | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.path = path or new_path(spark, "line-runs")
+        self.name = f"line_runs_{uuid.uuid4().hex}"
+        # a shuffle's own number, so that what a shuffle has dealt out by h is a bucket of the run as it is
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self.made = 0
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths)
-
     def _write(self, df: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        path = f"{self.path}/L{level}/run-{self.made:05d}"
+        table = f"{self.name}_{self.made}"
+        df.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/L{level}/run-{self.made:05d}").saveAsTable(table)
         self.made += 1
-        df.sortWithinPartitions("h").write.parquet(path)
-        self.levels[level].append(path)
+        self.levels[level].append(table)
 
     def runs(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+        return [t for level in self.levels for t in level]
+
+    def drop(self, *tables: str) -> None:
+        """Forget runs and delete their files."""
+        for t in tables:
+            at = self.spark.sql(f"DESCRIBE FORMATTED {t}").filter("col_name = 'Location'").first().data_type
+            self.spark.sql(f"DROP TABLE {t}")
+            remove(self.spark, at)
+
+    def close(self) -> None:
+        self.drop(*self.runs())
+        self.levels = [[]]
 
     def add(self, counts: DataFrame) -> None:
         """Add a batch's (h, n) as a run, without the keys that are known to be frequent; then compact full levels."""
-        if self.runs():
-            known = self._read(self.runs()).filter(F.col("n") >= self.min_docs).select("h")
-            counts = counts.join(known, "h", "left_anti")
-        self._write(counts, 0)
+        self._write(self.unknown(counts), 0)
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
                 old, self.levels[level] = self.levels[level], []
-                self._write(self._merged(old), level + 1)
-                remove(self.spark, *old)
+                self._write(self.merged(old), level + 1)
+                self.drop(*old)
+
+    def unknown(self, counts: DataFrame) -> DataFrame:
+        """counts without the keys that a run proves frequent: one merge anti-join a run."""
+        for t in self.runs():
+            known = self.spark.table(t).filter(F.col("n") >= self.min_docs).select("h")
+            counts = counts.join(known.hint("merge"), "h", "left_anti")
+        return counts
 
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy("h").agg(F.sum("n").alias("n"))
+    def merged(self, tables: list[str]) -> DataFrame:
+        """(h, n) of several runs: their merge, bucket by bucket."""
+        parts = [self.spark.table(t) for t in tables]
+        return reduce(DataFrame.unionByName, parts).groupBy("h").agg(F.sum("n").alias("n"))
 
     def frequent(self) -> DataFrame:
         """The hashes of all keys found in min_docs documents or more."""
-        return self._merged(self.runs()).filter(F.col("n") >= self.min_docs).select("h")
+        return self.merged(self.runs()).filter(F.col("n") >= self.min_docs).select("h")
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,8 +102,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
 
     Lines are what \\n separates. A line's key is the line stripped of white space with A-Z lower-cased. Keys of min_chars
     code points or more that are found in min_docs rows or more lose all their lines. A null or empty text is one empty line
-    (its text becomes ""). Repeated rows count as documents each. Rows with equal or null ids are handled each on its own
-    text, as frequency is a property of the key alone. An empty table gives an empty result. If docs has columns named
+    (its text becomes ""). Repeated rows count as documents each. Ids only deal the rows out to batches: what a row loses
+    depends on its text, and equal texts lose the same. An empty table gives an empty result. If docs has columns named
     n_lines or n_dropped, the added ones replace them.
     """
     spark = docs.sparkSession
@@ -91,16 +116,22 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
             out.append([key_hash(k) for k in keys if len(k) >= min_chars and (len(k) >= 4 * min_chars or len(k.decode()) >= min_chars)])
         return [out]
 
-    source = docs.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).cast("int").alias("batch"), F.col(text_col).alias("t"))
-    each = add_columns(source, [T.StructField("hs", T.ArrayType(T.BinaryType()))], hashes, drop=("t",)).select("batch", "id", F.explode("hs").alias("h"))
-    keys = staged(each, "line-keys", "batch")
+    batch = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(batches)).cast("int")
+    source = docs.select(F.xxhash64(F.col(text_col)).alias("text_hash"), batch.alias("batch"), F.col(text_col).alias("t"))
+    each = add_columns(source, [T.StructField("hs", T.ArrayType(T.BinaryType()))], hashes, drop=("t",)).select("batch", "text_hash", F.explode("hs").alias("h"))
+    paths: list[str] = []
+    keys = staged(each, "line-keys", "batch", into=paths)
     runs = LineRuns(spark, min_docs, fanout)
     for b in range(batches):
         runs.add(keys.filter(F.col("batch") == b).groupBy("h").agg(F.count("*").alias("n")))
-    hits = keys.join(staged(runs.frequent(), "frequent-lines"), "h", "left_semi").groupBy("id").agg(F.collect_set("h").alias("hits"))
-    hit, row = fresh(docs, "hits"), fresh(docs, "row_id")
-    hits = hits.select(F.col("id").alias(row), F.col("hits").alias(hit))
-    joined = docs.join(hits, docs[id_col].eqNullSafe(hits[row]), "left").drop(row)
+    frequent = staged(runs.frequent(), "frequent-lines", into=paths)
+    runs.close()
+    # keyed by the text's hash, so that copies are one: if two texts shared a hash, each would only hear of frequent lines it hasn't
+    hit, row = fresh(docs, "hits"), fresh(docs, "text_hash")
+    hits = keys.join(frequent, "h", "left_semi").groupBy("text_hash").agg(F.collect_set("h").alias(hit)).withColumnRenamed("text_hash", row)
+    hits = staged(hits, "text-hits")
+    remove(spark, *paths)
+    joined = docs.withColumn(row, F.xxhash64(F.col(text_col))).join(hits, row, "left").drop(row)
     made = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField(fresh(docs, "kept"), T.StringType())]
 
     def cut(batch: pa.RecordBatch) -> list:

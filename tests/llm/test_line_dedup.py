@@ -35,11 +35,37 @@ def test_repeated_and_null_ids(spark):
     assert line_dedup.drop_frequent_lines(df.limit(0), 4).count() == 0
 
 
+def test_one_text_under_many_ids(spark):
+    """A third of the rows has no id, and many rows one text."""
+    texts = ["a\nb"] * 30 + [f"own {i}\na" for i in range(30)] + [None, ""]
+    rows = [(None if i % 3 == 0 else i % 5, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.n_lines, r.n_dropped, r.text) for r in line_dedup.drop_frequent_lines(df, 30).collect())
+    assert got == sorted(brute(texts, 30))
+
+
 def test_runs_are_compacted(spark):
     runs = line_dedup.LineRuns(spark, min_docs=3, fanout=2)
     for _ in range(5):
         runs.add(spark.createDataFrame([(bytearray(b"k"), 1), (bytearray(b"big"), 3)], line_dedup.RUN))
     assert all(len(level) < 2 for level in runs.levels) and len(runs.levels) == 3
-    total = {bytes(r.h): r.n for r in runs._merged(runs.runs()).collect()}
+    total = {bytes(r.h): r.n for r in runs.merged(runs.runs()).collect()}
     assert total == {b"k": 4, b"big": 3}  # once a run proves them frequent they are counted no more
     assert {bytes(r.h) for r in runs.frequent().collect()} == {b"k", b"big"}
+    runs.close()
+    assert not runs.runs()
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_are_merged_in_their_buckets(spark):
+    runs = line_dedup.LineRuns(spark, min_docs=3, fanout=9)
+    for x in range(3):
+        runs.add(spark.createDataFrame([(bytearray(b"%d" % (x + i)), i) for i in range(200)], line_dedup.RUN))
+    assert "Exchange" not in plan(runs.merged(runs.runs()))
+    batch = spark.createDataFrame([(bytearray(b"k"), 1)], line_dedup.RUN).groupBy("h").agg({"n": "sum"})
+    anti = plan(runs.unknown(batch))
+    assert anti.count("LeftAnti") == 3 and "Broadcast" not in anti and anti.count("Exchange hash") == 1
+    runs.close()
