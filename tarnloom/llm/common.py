@@ -16,8 +16,25 @@ from ..lineage import shared_dir
 WS = " \t\n\x0b\x0c\r"
 
 
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tarnloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tarnloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder's path in the shared folder. What this application leaves there goes when its driver ends; sweep() deletes
+    it earlier."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(top):
+        files.mkdirs(top)
+    files.deleteOnExit(top)
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this application has staged: for long sessions, once results have been written."""
+    remove(spark, own_folder(spark))
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

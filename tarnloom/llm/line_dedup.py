@@ -9,7 +9,6 @@ reads is therefore at most fanout runs a level, and each key is rewritten once a
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -40,7 +39,7 @@ class LineRuns:
     sort-merge joins over the runs' own buckets, and a batch is shuffled once.
     """
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3, path: str | None = None, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2, path: str | None = None, buckets: int | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.path = path or new_path(spark, "line-runs")
         self.name = f"line_runs_{uuid.uuid4().hex}"
@@ -88,16 +87,19 @@ class LineRuns:
         return counts
 
     def merged(self, tables: list[str]) -> DataFrame:
-        """(h, n) of several runs: their merge, bucket by bucket."""
-        parts = [self.spark.table(t) for t in tables]
-        return reduce(DataFrame.unionByName, parts).groupBy("h").agg(F.sum("n").alias("n"))
+        """(h, n) of several runs: their merge. Two runs, as in a compaction of fanout 2, are merged bucket by bucket."""
+        out = self.spark.table(tables[0])
+        for t in tables[1:]:
+            more = self.spark.table(t).withColumnRenamed("n", "m").hint("merge")
+            out = out.join(more, "h", "full").select("h", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        return out
 
     def frequent(self) -> DataFrame:
         """The hashes of all keys found in min_docs documents or more."""
         return self.merged(self.runs()).filter(F.col("n") >= self.min_docs).select("h")
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with frequent lines cut out of text_col, plus n_lines (before) and n_dropped.
 
     Lines are what \\n separates. A line's key is the line stripped of white space with A-Z lower-cased. Keys of min_chars

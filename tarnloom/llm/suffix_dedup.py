@@ -5,12 +5,14 @@ has an anchor: the smallest hash of the GRAM-byte strings in it. Equal windows h
 windows with an anchor seen more than once can repeat. An anchor's context is all bytes of the windows that it stands for.
 
 1. Anchors, as (gram hash, context hash, document, place), are brought together by gram hash. Of equal contexts all but the
-   first only repeat it. Contexts that share a gram but differ (where a copied passage begins or ends) remain open.
+   first only repeat it: 128 bits of hashes tell them apart. Contexts that share a gram but differ (where a copied passage
+   begins or ends) remain open.
 2. The open contexts' bytes are dealt out by gram hash, and each share's windows are put in suffix order in two stages:
    suffixes smaller than their successors are sorted directly, the others are induced by scanning the buckets of first bytes
    in ascending order. Common prefixes of neighbours give the classes of equal windows; all but a class's first are removed.
-3. Grams with more than `max_group` open contexts would make a share too large: their windows are compared by 128-bit
-   digests instead, in an aggregation that combines before the shuffle.
+3. A gram with more than `max_group` open contexts would make its share too large. Its contexts are cut into pieces of STEP
+   windows, which have all but STEP - 1 of a window's bytes in common, and dealt out by those bytes instead of the gram
+   alone; they are suffix-sorted like the others. Equal pieces of one batch travel once.
 """
 
 from __future__ import annotations
@@ -30,8 +32,11 @@ from .common import add_columns, fresh, remove, slices, staged, utf8
 GRAM = 32
 _BASE = 0x9E3779B97F4A7C15
 _MASK = 0xFFFFFFFFFFFFFFFF
-#: Bytes of text in one numpy pass; a place must fit the low bits of an anchor's key.
-CHUNK, _PLACE = 1 << 20, 28
+#: Bytes of text in one numpy pass (a longer text is one alone); a place must fit the low bits of an anchor's key, as any does in
+#: a text that Spark can hold.
+CHUNK, _PLACE = 1 << 20, 31
+#: Windows of a piece.
+STEP = 9
 _NONE = np.uint64(_MASK)
 
 
@@ -224,6 +229,30 @@ def joined(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[new], begin[new], end[np.append(new[1:], len(doc)) - 1]
 
 
+def cut_up(text: bytes, first: int, windows: int, at: int, length: int) -> list[tuple[int, int, int]]:
+    """(key, first window, windows) of a context's pieces. Window j has its anchor at offset at - j; a piece has the windows
+    whose offsets agree in offset // STEP, so that equal windows are in pieces with equal keys."""
+    anchor, out, j = first + at, [], 0
+    while j < windows:
+        group = (at - j) // STEP
+        n = min(windows - j, at - j - group * STEP + 1)
+        common = anchor - group * STEP  # where the bytes begin that all windows of such a piece have
+        key = xxhash.xxh64_intdigest(text[common : common + length - STEP + 1], group) - (1 << 63)
+        out.append((key, first + j, n))
+        j += n
+    return out
+
+
+def once(pieces: list[tuple]) -> list[tuple]:
+    """The pieces (key, doc, first, windows, bytes); of equal ones all but the earliest without their bytes."""
+    seen, out = set(), []
+    for piece in sorted(pieces, key=lambda p: p[1:3]):
+        what = (piece[0], piece[3], piece[4])
+        out.append((*piece[:4], None) if what in seen else piece)
+        seen.add(what)
+    return out
+
+
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """docs with a unique long that is in the order of (id, nulls last; then text hash), and its name.
 
@@ -329,44 +358,42 @@ def repeated_spans(docs: DataFrame, key: str, text_col: str, length: int, max_gr
     place, more = F.shiftright("spot", 16), F.shiftright("spot", 8).bitwiseAND(F.lit(255))
     plain = settled.filter("kind = 1").select("doc", place.alias("begin"), (place + more + length).alias("end"))
 
-    open_ = settled.filter("kind = 2").select("gram", "doc", place.alias("first"), (more + 1).cast("int").alias("windows"))
+    inside = F.col("spot").bitwiseAND(F.lit(255)).cast("int")
+    open_ = settled.filter("kind = 2").select("gram", "doc", place.alias("first"), (more + 1).cast("int").alias("windows"), inside.alias("at"))
     size = open_.agg(F.count("*")).first()[0]
     crowded = open_.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > max_group).select("gram", F.lit(True).alias("crowded"))
-    each = open_.join(crowded, "gram", "left").groupBy("doc").agg(F.collect_list(F.struct("gram", "first", "windows", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("cuts"))
+    each = open_.join(crowded, "gram", "left").groupBy("doc").agg(F.collect_list(F.struct("gram", "first", "windows", "at", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("cuts"))
     texts = docs.select(F.col(key).alias("doc"), F.col(text_col).alias("text")).join(each, "doc")
-    shares = max(1, round(size * (length + GRAM) / share_bytes))
+    # shares of a bounded size, and enough of them for all cores however small the input
+    shares = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), round(size * (length + GRAM) / share_bytes))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"key": pa.int64(), "doc": pa.int64(), "first": pa.int64(), "windows": pa.int32(), "bytes": pa.binary()}
         for batch in batches:
             texts = utf8(batch.column("text"))
             for a, b in slices([len(t) for t in texts], 1 << 22):
-                rows = [(c["gram"], doc, c["first"], c["windows"], text[c["first"] : c["first"] + c["windows"] - 1 + length], c["crowded"]) for doc, text, cuts in zip(batch.column("doc").slice(a, b - a).to_pylist(), texts[a:b], batch.column("cuts").slice(a, b - a).to_pylist(), strict=True) for c in cuts]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["gram", "doc", "first", "windows", "bytes", "crowded"])
-
-    contexts = staged(texts.mapInArrow(cut, "gram long, doc long, first long, windows int, bytes binary, crowded boolean"), "contexts", into=paths)
+                rows, pieces = [], []
+                for doc, text, cuts in zip(batch.column("doc").slice(a, b - a).to_pylist(), texts[a:b], batch.column("cuts").slice(a, b - a).to_pylist(), strict=True):
+                    for c in cuts:
+                        if c["crowded"]:
+                            pieces += [(key, doc, first, n, text[first : first + n - 1 + length]) for key, first, n in cut_up(text, c["first"], c["windows"], c["at"], length)]
+                        else:
+                            rows.append((c["gram"], doc, c["first"], c["windows"], text[c["first"] : c["first"] + c["windows"] - 1 + length]))
+                rows += once(pieces)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+    # without bytes: an equal piece of the same batch comes earlier
+    contexts = staged(texts.mapInArrow(cut, "key long, doc long, first long, windows int, bytes binary"), "contexts", into=paths)
     free(docs.sparkSession)
 
     def sort(table: pa.Table) -> pa.Table:
-        doc, begin, end = repeats(table.column("bytes").to_pylist(), table.column("windows").to_numpy().astype(np.int64), table.column("doc").to_numpy(), table.column("first").to_numpy(), length)
+        windows = table.column("windows").to_numpy().astype(np.int64)
+        doc, begin, end = repeats(table.column("bytes").to_pylist(), windows, table.column("doc").to_numpy(), table.column("first").to_numpy(), length)
         return pa.table({"doc": pa.array(doc), "begin": pa.array(begin), "end": pa.array(end)})
 
-    spans = "doc long, begin long, end long"
-    share = F.pmod(F.col("gram"), F.lit(shares))
-    sorted_ = contexts.filter("NOT crowded").select(share.alias("share"), "doc", "first", "windows", "bytes").groupBy("share").applyInArrow(sort, spans)
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                count = some.column("windows").to_numpy().astype(np.int64)
-                h = [xxhash.xxh3_128_digest(c[i : i + length]) for c, k in zip(some.column("bytes").to_pylist(), count.tolist(), strict=True) for i in range(k)]
-                inside = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(np.repeat(some.column("doc").to_numpy(), count)), pa.array(np.repeat(some.column("first").to_numpy(), count) + inside)], names=["h", "doc", "begin"])
-
-    windows = contexts.filter("crowded").mapInArrow(digests, "h binary, doc long, begin long")
-    firsts = windows.groupBy("h").agg(F.min(F.struct("doc", "begin")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    more_ = windows.join(firsts, "h").filter((F.col("doc") != F.col("first.doc")) | (F.col("begin") != F.col("first.begin"))).select("doc", "begin", (F.col("begin") + length).alias("end"))
+    share = F.pmod(F.xxhash64("key"), F.lit(shares))
+    sorted_ = contexts.filter("bytes IS NOT NULL").select(share.alias("share"), "doc", "first", "windows", "bytes").groupBy("share").applyInArrow(sort, "doc long, begin long, end long")
+    more_ = contexts.filter("bytes IS NULL").select("doc", F.col("first").alias("begin"), (F.col("first") + F.col("windows") - 1 + length).alias("end"))
     return staged(plain.unionByName(sorted_).unionByName(more_), "spans", into=paths)
 
 

@@ -54,6 +54,28 @@ def test_against_brute_force(spark, seed, max_group, share):
         assert (r.n_bytes, r.n_removed) == (len((text or "").encode()), len((text or "").encode()) - len(kept))
 
 
+def test_a_passage_in_many_documents(spark):
+    """Every edge of the passage is an anchor with as many different contexts as there are documents."""
+    rng = random.Random(6)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = say(260)
+    rows = [(i, say(rng.randint(0, 120)) + passage + say(rng.randint(0, 120))) for i in range(300)]
+    rows += [(1000 + i, t[: 150 + i]) for i, t in rows[:40]]
+    got = {r.doc_id: r for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), max_group=20).collect()}
+    for (i, _), (kept, runs) in zip(rows, brute(rows, 100), strict=True):
+        assert (bytes(got[i].kept), got[i].n_spans) == (kept, runs), i
+
+
+def test_pieces_hold_each_window_once():
+    text = bytes(range(256)) * 3
+    for at in range(0, 69):
+        for windows in range(1, at + 2):
+            cuts = sd.cut_up(text, 100, windows, at, 100)
+            assert [w for _, first, n in cuts for w in range(first, first + n)] == list(range(100, 100 + windows))
+            whole = {first + j: key for key, first, n in sd.cut_up(text, 100 + 0, at + 1, at, 100) for j in range(n)}
+            assert all(whole[first + j] == key for key, first, n in cuts for j in range(n))
+
+
 def test_repeated_and_null_ids(spark):
     p = " ".join(f"w{i}" for i in range(60))
     rows = [(2, p), (2, p), (None, p + " z"), (1, "y " + p), (2, "q " + p)]
