@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnloom.llm import decontam, langid, line_dedup, packing, simhash
+from tarnloom.llm import decontam, langid, line_dedup, packing, simhash, suffix_dedup
 from tarnloom.llm.common import staged
 from tarnloom.llm.queries import table, tokenizer_path
 
@@ -48,16 +48,18 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; of rows that repeat an id, one.
+    """Of each group of near-duplicates the document with the smallest id; of rows equal in id and text, one.
 
-    Near-duplicates link as in op7_simhash or by a similarity of SIMILARITY of their sets of five-word shingles. Kept ids grow
-    as the documents do, so they are never broadcast.
+    Near-duplicates link as in op7_simhash or by a similarity of SIMILARITY of their sets of five-word shingles. Rows are told
+    apart by a number in the order of ids, nulls last, so that an id which several texts share, or none, stands for no
+    other row. Kept numbers grow as the documents do, so they are never broadcast.
     """
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), similarity=SIMILARITY)
-    first = staged(groups.filter(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("kept_id")), "kept-ids")
-    distinct = first.distinct().hint("merge")
-    kept = docs.join(distinct, docs["doc_id"].eqNullSafe(distinct["kept_id"]), "left_semi")
-    return kept if first.count() == distinct.count() else kept.dropDuplicates(["doc_id"])
+    own, number = suffix_dedup.numbered(docs, "doc_id", "text")
+    groups = simhash.near_duplicates(own.select(number, "text"), id_col=number, similarity=SIMILARITY)
+    kept = staged(groups.filter(F.col(number) == F.col("component")).select(number), "kept-numbers")
+    once = kept.distinct()
+    out = own.join(once.hint("merge"), number, "left_semi")
+    return (out if kept.count() == once.count() else out.dropDuplicates([number])).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
