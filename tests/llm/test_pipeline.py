@@ -81,3 +81,10 @@ def test_columns_that_clash_come_through(spark):
         assert all(r[c] == c for r in out.collect() for c in docs.columns[5:])
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rows_that_share_an_id_stay_apart(spark):
+    rows = [(None, "one text about rivers and the boats on them"), (None, "another about hills and the sheep up there"), (None, None), (5, "five has a text of its own here"), (5, "and five has a second one, quite unlike"), (5, "and five has a second one, quite unlike"), (6, "five has a text of its own here"), (2, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], table(spark, SF, "documents").schema)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in cp.near_dedup(spark, docs, SF).collect()), key=str)
+    assert got == sorted(((i is None, i or 0, t) for i, t in [rows[0], rows[1], rows[3], rows[4], rows[7]]), key=str)
