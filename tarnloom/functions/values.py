@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .blake3 import blake3
 from .codes import let
 
 #: How values are hashed, by name. Equality of hashes decides duplicates and conflicts; the algorithm is stored beside them.
-HASHES = {"sha256": lambda c: F.sha2(c, 256), "sha512": lambda c: F.sha2(c, 512), "md5": F.md5}
+HASHES = {"sha256": lambda c: F.sha2(c, 256), "sha512": lambda c: F.sha2(c, 512), "md5": F.md5, "blake3": blake3}
 
 
 def content_hash(value: Column, algorithm: str = "sha256") -> Column:
