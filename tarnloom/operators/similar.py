@@ -37,18 +37,22 @@ def probes(queries: DataFrame, probe: int, n: int = BANDS) -> DataFrame:
     return each.withColumn("mask", F.explode(masks)).select("query_key", "query_code", "band_index", F.col("own").bitwiseXOR(F.col("mask")).alias("band_value"))
 
 
-def hamming_join(queries: DataFrame, entries: DataFrame, radius: int, n: int = BANDS, probe: int | None = None) -> DataFrame:
+def hamming_join(queries: DataFrame, entries: DataFrame, radius: int, n: int = BANDS, probe: int | None = None, band_table: DataFrame | None = None) -> DataFrame:
     """(query_key, key, query_code, content_code, distance) for all pairs within the radius, found by shared bands.
 
     An equi-join on (band, value) with the distance as its residual. Each pair is reported by its lowest shared band alone,
     so nothing needs deduplicating after the join. probe None: the smallest that misses no pair; a smaller one is the
-    approximate search. Equal codes meet once a distinct code: repeats are joined back afterwards.
+    approximate search. Equal codes meet once a distinct code: repeats are joined back afterwards. band_table: entries' bands
+    where they are at hand, as in a stored index.
     """
     p = codes.exact_probe(radius, n) if probe is None else probe
     width = codes.check_bands(n)
     left = queries.filter(F.col("query_code").isNotNull())
     q = probes(left.select(F.lit("").alias("query_key"), "query_code").distinct(), p, n).drop("query_key")
-    e = bands(entries.filter(F.col("content_code").isNotNull()).select(F.lit("").alias("key"), "content_code").distinct(), n).drop("key")
+    if band_table is None:
+        e = bands(entries.filter(F.col("content_code").isNotNull()).select(F.lit("").alias("key"), "content_code").distinct(), n).drop("key")
+    else:
+        e = band_table.select("band_index", "band_value", "content_code").distinct()
     apart = codes.distance(F.col("query_code"), F.col("content_code"))
     met = q.join(e, ["band_index", "band_value"]).withColumn("distance", apart).filter(F.col("distance") <= radius)
     mask = (1 << width) - 1 if width < 64 else -1
@@ -59,8 +63,16 @@ def hamming_join(queries: DataFrame, entries: DataFrame, radius: int, n: int = B
     return pairs.join(left, "query_code").join(entries.select("key", "content_code"), "content_code").select("query_key", "key", "query_code", "content_code", "distance")
 
 
+#: Queries that brute force broadcasts at most (some 100 bytes each).
+MOST_QUERIES = 1 << 17
+
+
 def brute_force(queries: DataFrame, entries: DataFrame, radius: int) -> DataFrame:
-    """hamming_join() without bands: for one query, or few, against all entries."""
+    """hamming_join() without bands: for one query, or few, against all entries. Queries are sent to the entries, so beyond
+    MOST_QUERIES they are refused: hamming_join() has no such limit."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries; use hamming_join()")
+    queries = F.broadcast(queries)
     apart = codes.distance(F.col("query_code"), F.col("content_code"))
     return entries.filter(F.col("content_code").isNotNull()).select("key", "content_code").join(queries, apart <= radius).withColumn("distance", apart)
 
@@ -92,3 +104,8 @@ def coverage(entries: DataFrame) -> DataFrame:
 def nearest_per_query(pairs: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_key").orderBy("distance", "key")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def fetched(matches: DataFrame, records: DataFrame) -> DataFrame:
+    """matches with the records of their keys; a match whose record is lost keeps its row."""
+    return matches.join(records.drop("content_code", "distance"), "key", "left")

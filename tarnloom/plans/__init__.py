@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
 from ..functions import codes
@@ -11,8 +13,9 @@ from ..operators import similar
 BRUTE_PAIRS = 50_000_000
 
 
-def hamming_plan(n_queries: int, n_entries: int, radius: int, bands: int = similar.BANDS) -> str:
+def hamming_plan(n_queries: int, n_entries: int, radius: int, bands: int | None = None) -> str:
     """"brute" or "bands": few comparisons, or a radius that needs so many probes that banding meets more rows, are brute."""
+    bands = bands_for(n_entries, radius) if bands is None else bands
     probe = codes.exact_probe(radius, bands)
     width = 64 // bands
     masks = len(codes.probe_masks(width, min(probe, 3)))
@@ -20,8 +23,20 @@ def hamming_plan(n_queries: int, n_entries: int, radius: int, bands: int = simil
     return "brute" if n_queries * n_entries <= BRUTE_PAIRS or met >= n_queries * n_entries else "bands"
 
 
+def bands_for(n_entries: int, radius: int) -> int:
+    """How many bands make an exact search of n_entries cheapest: few wide ones meet few entries by chance, but need more probes
+    as the radius grows. A query costs its probes and the entries that they meet."""
+
+    def cost(bands: int) -> float:
+        width = 64 // bands
+        probes = bands * sum(math.comb(width, k) for k in range(min(width, codes.exact_probe(radius, bands)) + 1))
+        return probes * (1 + n_entries / 2.0**width)
+
+    return min((1, 2, 4, 8, 16, 32), key=cost)
+
+
 def hamming(queries: DataFrame, entries: DataFrame, radius: int, n_queries: int, n_entries: int) -> DataFrame:
     """The exact join within a radius, by the cheaper plan."""
-    if hamming_plan(n_queries, n_entries, radius) == "brute":
+    if n_queries <= similar.MOST_QUERIES and hamming_plan(n_queries, n_entries, radius) == "brute":
         return similar.brute_force(queries, entries, radius).select("query_key", "key", "query_code", "content_code", "distance")
-    return similar.hamming_join(queries, entries, radius)
+    return similar.hamming_join(queries, entries, radius, bands_for(n_entries, radius))
