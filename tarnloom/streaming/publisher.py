@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..schema import PUBLISH_SECONDS, SUBMISSION
-from ..sources.store import Registry
+from ..lineage import cut
+from ..operators import sync, tree
+from ..schema import PUBLISH_SECONDS, SUBMISSION, SYNC
+from ..sources.dump import exists
+from ..sources.store import Registry, replace_snapshot
 
 
 def landed(spark: SparkSession, path: str, most_files: int = 100) -> DataFrame:
@@ -38,7 +41,44 @@ def root_changes(spark: SparkSession, registry_path: str) -> DataFrame:
     return spark.readStream.schema("name string, root string, version long").option("recursiveFileLookup", "false").parquet(f"{registry_path}/roots")
 
 
-def watch(spark: SparkSession, registry_path: str, checkpoint: str, table: str, drain: bool = True) -> StreamingQuery:
-    """Collect root changes in an in-memory table."""
-    writer = root_changes(spark, registry_path).writeStream.format("memory").queryName(table).outputMode("append").option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if drain else writer).start()
+def watch(spark: SparkSession, registry_path: str, checkpoint: str, target: str, drain: bool = True) -> StreamingQuery:
+    """Collect root changes as Parquet under target."""
+    writer = root_changes(spark, registry_path).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if drain else writer).start(target)
+
+
+def synced(spark: SparkSession, state: str) -> DataFrame:
+    """The follower's state (SYNC); empty before its first pass."""
+    return spark.read.schema(SYNC).parquet(state) if exists(spark, state) else spark.createDataFrame([], SYNC)
+
+
+def sync_pass(registry: Registry, state: str, pass_number: int, at=None, readable: DataFrame | None = None) -> int:
+    """Read the partitions that need it (see sync.work) and replace the state under `state`. How many were read.
+
+    A partition of which not all nodes can be read keeps its old state and notes the error.
+    """
+    spark = registry.spark
+    old = cut(synced(spark, state))
+    todo = cut(sync.work(sync.partition_roots(registry.root_log()), old, pass_number=pass_number))
+    parts = [r.partition_id for r in todo.collect()]  # PARTITIONS at most
+    if not parts:
+        return 0
+    entries, complete = tree.scanned(registry.nodes(partitions=parts), readable)
+    found = entries.groupBy("partition_id").agg(F.count("*").alias("records"), F.max("created_at").alias("latest_added_at"))
+    now = F.current_timestamp() if at is None else at
+    results = todo.join(complete, "partition_id", "left").join(found, "partition_id", "left").select(
+        "partition_id", "root", F.coalesce("records", F.lit(0)).cast("long").alias("records"), now.alias("synced_at"), "latest_added_at",
+        F.when(~F.coalesce("complete", F.lit(False)), "incomplete").alias("error"),
+    )
+    replace_snapshot(cut(sync.refreshed(old, results).select(*SYNC.names)), state)
+    return len(parts)
+
+
+def follow(registry: Registry, checkpoint: str, state: str, drain: bool = True, seconds: int = 15, at=None) -> StreamingQuery:
+    """Sync passes as roots change: a trigger's changes make one pass, every FULL_EVERY-th pass (the first among them) is full."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        sync_pass(registry, state, number, at)
+
+    writer = root_changes(registry.spark, registry.path).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=f"{seconds} seconds")).start()
