@@ -55,7 +55,8 @@ def encode(code: Column, subtype: int = 0) -> Column:
 
 
 def shown(code: Column) -> Column:
-    return F.format_string("0x%016x", code)
+    """A code as 0x and hex digits; null for null."""
+    return F.when(code.isNotNull(), F.format_string("0x%016x", code))
 
 
 def of_hex(digits: Column) -> Column:

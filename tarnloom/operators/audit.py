@@ -31,11 +31,10 @@ def report(expected_: DataFrame, in_tree: DataFrame, requeued: DataFrame | None
         F.count_distinct("partition_id").alias("partitions"), F.count_if(F.col("e") == 1).alias("expected"), F.count_if(F.col("t") == 1).alias("in_tree"),
         F.count_if((F.col("e") == 1) & (F.col("t") == 0)).alias("missing"), F.count_if((F.col("e") == 0) & (F.col("t") == 1)).alias("foreign_keys"),
     )
-    n = F.lit(0).cast("long") if requeued is None else None
-    if n is None:
-        out = out.crossJoin(requeued.agg(F.count("*").alias("requeued")))  # one row each
+    if requeued is None:
+        out = out.withColumn("requeued", F.lit(0).cast("long"))
     else:
-        out = out.withColumn("requeued", n)
+        out = out.crossJoin(requeued.agg(F.count("*").alias("requeued")))  # one row each
     return out.withColumn("failed", (F.col("missing") > 0) & (F.col("requeued") < F.col("missing")))
 
 

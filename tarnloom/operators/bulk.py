@@ -31,13 +31,27 @@ def spilled(records: DataFrame, path: str, columns: tuple[str, ...] = ("key", "c
     rows.repartition("partition_id").sortWithinPartitions("partition_id", "key").write.partitionBy("partition_id").parquet(path)
 
 
-def build(entries: DataFrame, limit: int = LEAF_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(nodes, roots) of all partitions at once; the first entry of a key (by created_at, then hash) counts."""
-    first = entries.groupBy("partition_id", "key").agg(F.min(F.struct("created_at", "content_hash", "size", "content_code")).alias("f")).select("partition_id", "key", "f.*")
+def build(entries: DataFrame, limit: int = LEAF_LIMIT, denylist: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, roots) of all partitions at once; the first entry of a key (by created_at, then hash) counts, denylisted keys
+    don't."""
+    first = tree.firsts(tree.without(entries, denylist))
     nodes = tree.hashes(first, tree.shape(first, limit))
     return nodes, tree.roots(nodes)
 
 
+def build_spilled(spark: SparkSession, path: str, limit: int = LEAF_LIMIT, denylist: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """build() of what spilled() has written."""
+    return build(spark.read.parquet(path), limit, denylist)
+
+
+def mark_published(records: DataFrame, incoming: DataFrame, at: Column) -> DataFrame:
+    """records with incoming ones as published, overwriting those of equal key; of equal incoming keys the last (by seq) counts."""
+    rows = F.struct(*[F.col(c) for c in incoming.columns if c != "key"])
+    last = incoming.groupBy("key").agg(F.max_by(rows, F.struct("seq", "content_hash")).alias("r")).select("key", "r.*")
+    last = last.withColumns({"status": F.lit(PUBLISHED), "published_at": at}).select(*records.columns)
+    return records.join(last.select("key"), "key", "left_anti").select(*records.columns).unionByName(last)
+
+
 def retimestamp(records: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, counters): created_at from the dump's declared timestamps. Lines that can't be read count as lines alone."""
     declared = values.declared_at(F.col("value"))
@@ -45,3 +59,10 @@ def retimestamp(records: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFr
     out, counts = submit.update_created_at(records, rows.filter("created_at IS NOT NULL"))
     more = rows.agg(F.count_if(F.col("created_at").isNull()).alias("no_timestamp"))
     return out, lines.agg(F.count("*").alias("lines")).crossJoin(counts).crossJoin(more)
+
+
+def rebuilt(spark: SparkSession, records: DataFrame, lines: DataFrame, path: str, limit: int = LEAF_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, roots, counters) after a retimestamp: published entries are spilled again to path and the trees built from there."""
+    out, counts = retimestamp(records, lines)
+    spilled(out, path)
+    return out, build_spilled(spark, path, limit)[1], counts

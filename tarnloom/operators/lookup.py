@@ -49,11 +49,16 @@ def page_count(printed: int, size: int) -> int:
     return -(-printed // max(1, size))
 
 
+def pages(records: DataFrame, size: int) -> DataFrame:
+    """(partition_id, records, pages): how many pages of `size` rows a listing of each partition has."""
+    counts = records.groupBy("partition_id").agg(F.count("*").alias("records"))
+    return counts.withColumn("pages", F.ceil(F.col("records") / max(1, size)).cast("long"))
+
+
 def listing(records: DataFrame, partition: int | None = None, most: int | None = None) -> DataFrame:
     """(partition_id, key, code): in the order of partition and key, at most `most`; code as hex or a dash."""
     rows = records if partition is None else records.filter(F.col("partition_id") == check_partition(partition))
-    out = rows.select("partition_id", "key", F.coalesce(codes.shown(F.when(F.col("content_code").isNotNull(), F.col("content_code"))), F.lit("-")).alias("code"))
-    out = out.withColumn("code", F.when(F.col("code").contains("null"), "-").otherwise(F.col("code"))).orderBy("partition_id", "key")
+    out = rows.select("partition_id", "key", F.coalesce(codes.shown(F.col("content_code")), F.lit("-")).alias("code")).orderBy("partition_id", "key")
     return out if most is None else out.limit(most)
 
 
@@ -64,3 +69,33 @@ def tsv(rows: DataFrame, *more: str) -> DataFrame:
 
 def listing_with_iscc(records: DataFrame) -> DataFrame:
     return records.select("partition_id", "key", values.listed_iscc(F.col("value")).alias("iscc"))
+
+
+#: Keys that are broadcast at most (64 bytes or so each).
+MOST_KEYS = 1 << 17
+
+
+def narrowed(index: DataFrame, batch: DataFrame) -> DataFrame:
+    """The rows of index (partition_id, key, ...) whose keys are in batch (partition_id, key): the cost of a small batch
+    is that of reading its partitions; nothing of the index is shuffled. Larger batches are joined by shuffle."""
+    wanted = batch.select("partition_id", "key").distinct()
+    parts = [r[0] for r in wanted.select("partition_id").distinct().collect()]  # PARTITIONS at most
+    here = index.filter(F.col("partition_id").isin(parts))
+    few = wanted.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    return here.join(F.broadcast(wanted) if few else wanted, ["partition_id", "key"], "left_semi")
+
+
+def json_rows(rows: DataFrame) -> DataFrame:
+    """(line): each row as a JSON object, null fields left out."""
+    return rows.select(F.to_json(F.struct(*[F.col(c) for c in rows.columns])).alias("line"))
+
+
+def warm(df: DataFrame) -> tuple[DataFrame, int]:
+    """(df, kept in the executors' memory; its rows), for lists that are asked for again and again."""
+    kept = df.cache()
+    return kept, kept.count()
+
+
+def cached_or(cached: DataFrame | None, cached_root: str | None, root: str | None, read) -> DataFrame:
+    """A partition's listing from the cache while its root is the cached one, else by read()."""
+    return cached if cached is not None and root is not None and cached_root == root else read()

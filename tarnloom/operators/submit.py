@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, keys, values
+from ..lineage import cut
 from ..schema import CONFLICT, DENYLISTED, DUPLICATE, MAX_BATCH, MAX_VALUE_BYTES, PENDING, PUBLISHED, QUEUED
 
 #: Error codes and the HTTP status of each (fixed values).
@@ -57,10 +58,20 @@ def first_writes(rows: DataFrame, index: DataFrame | None = None) -> DataFrame:
     return classify(rows, index).filter(F.col("outcome") == QUEUED).drop("outcome", "existing_hash")
 
 
+def numbered(rows: DataFrame, by: list[str], name: str, first: int) -> DataFrame:
+    """rows with numbers from `first` in the order of `by`, in two passes: each range of the order counts its own rows, and the
+    ranges' sizes (a row each) are added up."""
+    ranged = cut(rows.repartitionByRange(*by).withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("rows"))
+    before = sizes.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*by))
+    return ranged.join(F.broadcast(before), "part").withColumn(name, (own + F.col("before") + F.lit(first - 1)).cast("long")).drop("part", "before")
+
+
 def enqueue(outcomes: DataFrame, next_seq: int = 0) -> DataFrame:
-    """(seq, key) of queued rows: numbers from next_seq in the order of arrival. A request's batch at most; see bulk for dumps."""
-    order = Window.orderBy("seq")
-    return outcomes.filter(F.col("outcome") == QUEUED).select((F.row_number().over(order) + F.lit(next_seq - 1)).cast("long").alias("queue_seq"), "key")
+    """(queue_seq, key) of queued rows: numbers from next_seq in the order of arrival."""
+    queued = outcomes.filter(F.col("outcome") == QUEUED).select("seq", "key")
+    return numbered(queued, ["seq", "key"], "queue_seq", next_seq).select("queue_seq", "key")
 
 
 def check_batch(n: int, most: int = MAX_BATCH) -> None:
@@ -73,6 +84,11 @@ def counters(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count("*").alias("lines_read"), n(QUEUED).alias("new_records"), n(DUPLICATE).alias("duplicates"), n(CONFLICT).alias("conflicts"))
 
 
+def batch_errors(checked: DataFrame, batch: str = "batch", error: str = "error") -> DataFrame:
+    """(batch, errors, n): how many of a request's rows were refused."""
+    return checked.groupBy(batch).agg(F.count_if(F.col(error).isNotNull()).alias("errors"), F.count("*").alias("n"))
+
+
 def pending_batch(queue: DataFrame, records: DataFrame, most: int) -> DataFrame:
     """The oldest `most` queue rows that have a record; dangling rows are passed over and don't count."""
     return queue.select(F.col("seq").alias("queue_seq"), "key").join(records.drop("seq"), "key").orderBy("queue_seq").limit(most)
@@ -99,7 +115,7 @@ def drain(queue: DataFrame, done: DataFrame) -> DataFrame:
 def requeue(keys_: DataFrame, records: DataFrame, next_seq: int) -> DataFrame:
     """(seq, key) for the keys that have a record, from next_seq, in the order of keys."""
     known = keys_.select("key").distinct().join(records.select("key"), "key", "left_semi")
-    return known.select((F.row_number().over(Window.orderBy("key")) + F.lit(next_seq - 1)).cast("long").alias("seq"), "key")
+    return numbered(known, ["key"], "seq", next_seq).select("seq", "key")
 
 
 def update_created_at(records: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,8 @@ from .functions import codes, keys, values
 from .lineage import shared_dir
 from .operators import audit, bulk, lookup, similar, submit, summary, sync, tree
 from .sources import dump, fixtures
-from .sources.store import Registry, partition_digests
+from .sources.similarity import SimilarityIndex
+from .sources.store import Registry, put
 from .streaming import publisher
 
 QUERIES: dict = {}
@@ -132,18 +133,26 @@ def key_filter(spark, d):
 @query("""SELECT page_id AS seq, octet_length(encode(coalesce(html, '')))::BIGINT AS size, CASE WHEN octet_length(encode(coalesce(html, ''))) > 4000 THEN 'value_too_large' END AS error,
   CASE WHEN octet_length(encode(coalesce(html, ''))) > 4000 THEN 413 END AS http FROM pages""")
 def size_filter(spark, d):
-    rows = fixtures.pages(spark, d)
-    error = F.when(F.col("size") > 4000, "value_too_large")
-    return rows.select("seq", "size", error.alias("error"), submit.http_status(error).alias("http"))
+    rows = _checked_pages(spark, d)
+    return rows.select("seq", "size", "error", submit.http_status(F.col("error")).alias("http"))
 
 
-_JSON = """CASE doc_id % 6 WHEN 0 THEN '{"b":1,"a":"' || lang || '"}' WHEN 1 THEN '"{\\"z\\": ' || doc_id || '}"' WHEN 2 THEN '[1]' WHEN 3 THEN 'not json' WHEN 4 THEN '"text"' ELSE '{"ISCC":' || doc_id || ',"iscc":"x"}' END"""
+def _checked_pages(spark, d):
+    """Pages as submissions of their html, with the first rule that each breaks."""
+    html = F.coalesce("html", F.lit(""))
+    rows = fixtures.table(spark, d, "pages").select(F.col("page_id").alias("seq"), fixtures.key_of("page-", F.col("page_id")).alias("key"), html.alias("html"))
+    return rows.select("seq", values.size(F.col("html")).alias("size"), submit.reject_code(F.col("key"), F.col("html"), F.col("html"), 4000).alias("error"))
 
 
-@query("""SELECT doc_id AS seq, CASE doc_id % 6 WHEN 0 THEN '{"a":"' || lang || '","b":1}' WHEN 1 THEN '{"z": ' || doc_id || '}' WHEN 5 THEN '{"ISCC":' || doc_id || ',"iscc":"x"}' END AS canonical,
-  NULL::VARCHAR AS iscc, CASE WHEN doc_id % 6 = 5 THEN 'x' ELSE '-' END AS listed FROM documents WHERE lang IS NOT NULL""")
+@query("""SELECT doc_id AS seq, CASE doc_id % 8 WHEN 0 THEN '{"a":"' || lang || '","b":1}' WHEN 1 THEN '{"z": ' || doc_id || '}' WHEN 5 THEN '{"ISCC":' || doc_id || ',"iscc":"x"}'
+    WHEN 6 THEN '{"Iscc":"k' || doc_id || '","x":1}' WHEN 7 THEN '{"ISCC":"K' || doc_id || '"}' END AS canonical,
+  CASE doc_id % 8 WHEN 6 THEN 'k' || doc_id WHEN 7 THEN 'K' || doc_id END AS iscc, CASE doc_id % 8 WHEN 5 THEN 'x' WHEN 7 THEN 'K' || doc_id ELSE '-' END AS listed FROM documents WHERE lang IS NOT NULL""")
 def canonical_values(spark, d):
-    raw = F.expr(_JSON.replace("'{\\", "'{\\").replace('\\"', '\\\\"'))
+    i, n = F.col("doc_id").cast("string"), F.col("doc_id") % 8
+    raw = (
+        F.when(n == 0, F.concat(F.lit('{"b":1,"a":"'), "lang", F.lit('"}'))).when(n == 1, F.concat(F.lit('"{\\"z\\": '), i, F.lit('}"'))).when(n == 2, "[1]").when(n == 3, "not json")
+        .when(n == 4, '"text"').when(n == 5, F.concat(F.lit('{"ISCC":'), i, F.lit(',"iscc":"x"}'))).when(n == 6, F.concat(F.lit('{"x":1,"Iscc":"k'), i, F.lit('"}'))).otherwise(F.concat(F.lit('{"ISCC":"K'), i, F.lit('"}')))
+    )
     rows = fixtures.table(spark, d, "documents").filter("lang IS NOT NULL").select(F.col("doc_id").alias("seq"), raw.alias("v"))
     return rows.select("seq", values.canonical(F.col("v")).alias("canonical"), values.iscc_field(F.col("v")).alias("iscc"), values.listed_iscc(F.col("v")).alias("listed"))
 
@@ -218,7 +227,7 @@ def list_tsv(spark, d):
 
 @query(REC + "SELECT partition_id, count(*)::BIGINT AS records, ceil(count(*) / 3.0)::BIGINT AS pages FROM rec GROUP BY partition_id")
 def page_count(spark, d):
-    return docs(spark, d).groupBy("partition_id").agg(F.count("*").alias("records")).withColumn("pages", F.ceil(F.col("records") / F.greatest(F.lit(3), F.lit(1))).cast("long"))
+    return lookup.pages(docs(spark, d), 3)
 
 
 @query(REC + ", b AS (SELECT DISTINCT content_hash FROM rec WHERE seq % 4 <> 0) SELECT key, CASE WHEN b.content_hash IS NULL THEN 'content unavailable' END AS value_error FROM rec LEFT JOIN b USING (content_hash)")
@@ -319,9 +328,24 @@ def retimestamped(spark, d):
 
 @query(REC + ", n AS " + DENIED + " SELECT key, partition_id FROM rec ANTI JOIN n USING (key)")
 def denylist_exclusion(spark, d):
-    return docs(spark, d).join(fixtures.denied(spark, d), "key", "left_anti").select("key", "partition_id")
+    return tree.without(docs(spark, d), fixtures.denied(spark, d)).select("key", "partition_id")
 
 
+def nodes_sql(source: str, limit: int, depths: int = 5) -> str:
+    """CTEs over `source` (key, content_hash, size, created_ms): n{d} (part, prefix, x) is each node of depth d with its hash.
+    Trees deeper than `depths` levels are not written out."""
+    out = f"""tk AS (SELECT key, sha256(key) AS h, key || chr(9) || content_hash || chr(9) || size || chr(9) || created_ms || chr(9) || '-' AS line FROM {source}),
+tc AS (SELECT r.d AS depth, substr(h, 1, 2) AS part, substr(h, 3, 2 * r.d) AS prefix, count(*) AS n FROM tk, range({depths}) r(d) GROUP BY ALL),
+tn AS (SELECT * FROM tc WHERE depth = 0 OR (SELECT u.n FROM tc u WHERE u.depth = tc.depth - 1 AND u.part = tc.part AND u.prefix = substr(tc.prefix, 1, 2 * tc.depth - 2)) > {limit}),
+tl AS (SELECT depth, part, prefix, sha256('L' || chr(10) || string_agg(line, chr(10) ORDER BY key)) AS x FROM tn JOIN tk ON substr(h, 1, 2) = part AND substr(h, 3, 2 * depth) = prefix WHERE n <= {limit} GROUP BY ALL)"""
+    for d in range(depths - 1, -1, -1):
+        up = "" if d == depths - 1 else f" UNION ALL SELECT part, substr(prefix, 1, {2 * d}), sha256('I' || chr(10) || string_agg(substr(prefix, {2 * d + 1}, 2) || chr(9) || x, chr(10) ORDER BY prefix)) FROM n{d + 1} GROUP BY part, substr(prefix, 1, {2 * d})"
+        out += f",\nn{d} AS (SELECT part, prefix, x FROM tl WHERE depth = {d}{up})"
+    return out
+
+
+ROOTS = " SELECT 'partition/' || lpad(('0x' || part)::INT::VARCHAR, 3, '0') AS name, x AS root FROM n0"
+
 # -- audit and garbage -------------------------------------------------------------------------------------------------
 
 
@@ -355,13 +379,21 @@ def verify_report(spark, d):
     return audit.report(e, t, audit.fix(audit.missing(e, t), records, 0))
 
 
-_G = EV + ", b AS (SELECT DISTINCT content_hash AS hash FROM ev), l AS (SELECT DISTINCT content_hash AS hash FROM o WHERE outcome = 'queued' UNION SELECT content_hash FROM ev WHERE seq % 50 = 0)"
+_G = REC + """, tr AS (SELECT * FROM rec WHERE seq % 3 = 0 AND code IS NULL), src AS (SELECT key, content_hash, size, created_s * 1000 AS created_ms FROM tr),
+""" + nodes_sql("src", 2) + """,
+l AS (SELECT content_hash AS hash FROM rec WHERE seq % 3 = 1 UNION SELECT content_hash FROM tr UNION SELECT x FROM n0 UNION SELECT x FROM n1 UNION SELECT x FROM n2 UNION SELECT x FROM n3 UNION SELECT x FROM n4),
+b AS (SELECT content_hash AS hash FROM rec UNION SELECT x FROM n0 UNION SELECT sha256(x) FROM n0)"""
 
 
 def _garbage(spark, d):
-    rows = fixtures.submissions(spark, d)
-    live = audit.live(submit.first_writes(rows), rows.filter("seq % 50 = 0").select(F.col("content_hash").alias("hash")))
-    return rows.select(F.col("content_hash").alias("hash")).distinct(), live
+    """A third of the records is indexed, of another third those without a code are in trees. There are also old nodes that
+    nothing names any more."""
+    records = docs(spark, d)
+    in_trees = records.filter("seq % 3 = 0 AND content_code IS NULL")
+    nodes, roots = bulk.build(in_trees, 2)
+    live = audit.live(records.filter("seq % 3 = 1"), tree.marked(nodes, in_trees), roots=roots)
+    stored = put(records.select(F.col("content_hash").alias("hash")), roots.select(F.col("root").alias("hash")).unionByName(roots.select(F.sha2("root", 256).alias("hash"))))
+    return stored, live
 
 
 @query(_G + " SELECT hash FROM l")
@@ -379,14 +411,14 @@ def gc_garbage(spark, d):
 
 def _vectors(spark, d):
     rows = fixtures.vector_codes(spark, d)
-    return rows.filter("vec_id % 5 = 0").select(F.col("key").alias("query_key"), F.col("content_code").alias("query_code")), rows
+    return rows.select(F.col("key").alias("query_key"), F.col("content_code").alias("query_code")), rows
 
 
 def _pairs(df: DataFrame) -> DataFrame:
     return df.select("query_key", "key", F.col("distance").cast("int").alias("distance"))
 
 
-_H = VEC + " SELECT q.key AS query_key, e.key, bit_count(xor(q.b, e.b))::INT AS distance FROM vec q, vec e WHERE q.vec_id % 5 = 0 AND bit_count(xor(q.b, e.b)) <= "
+_H = VEC + " SELECT q.key AS query_key, e.key, bit_count(xor(q.b, e.b))::INT AS distance FROM vec q, vec e WHERE bit_count(xor(q.b, e.b)) <= "
 
 
 @query(_H + "20")
@@ -440,7 +472,7 @@ def similar_fetch(spark, d):
     query_ = rows.filter("vec_id = 3").select(F.col("key").alias("query_key"), F.col("content_code").alias("query_code"))
     best = similar.verified(similar.brute_force(query_, rows, 26), 26)
     have = fixtures.table(spark, d, "documents").select(F.concat(F.lit("vec-"), (F.col("doc_id") / 2).cast("long").cast("string")).alias("key"), "lang", "text", (F.col("doc_id") % 2 == 0).alias("even")).filter("even")
-    return best.join(have, "key", "left").select("key", F.col("distance").cast("int").alias("distance"), "lang", F.col("text").isNull().alias("lost"))
+    return similar.fetched(best, have).select("key", F.col("distance").cast("int").alias("distance"), "lang", F.col("text").isNull().alias("lost"))
 
 
 @query(REC + "SELECT count(*)::BIGINT AS scanned, count(code)::BIGINT AS with_content_code FROM rec")
@@ -448,6 +480,29 @@ def code_coverage(spark, d):
     return similar.coverage(docs(spark, d))
 
 
+def _index(spark, d):
+    """Vectors' codes, added in three versions; the last brings many again."""
+    rows = fixtures.vector_codes(spark, d)
+    index = SimilarityIndex(spark, workspace(spark, "bands"))
+    for version, some in ((1, rows.filter("vec_id % 2 = 0")), (2, rows.filter("vec_id % 2 = 1")), (3, rows.filter("vec_id % 3 = 0"))):
+        index.add(some, version)
+    return index
+
+
+@query(_H + "15")
+def index_search(spark, d):
+    return _pairs(_index(spark, d).search(_vectors(spark, d)[0], 15))
+
+
+_B = ", m AS (SELECT r.i AS i, " + _band("b", "r.i") + " AS v, key, code, 2 - (vec_id + 1) % 2 AS version FROM (SELECT vec.*, code FROM vec JOIN vh USING (key)), range(8) r(i))"
+
+
+@query(VEC + _B + """, s AS (SELECT 'iscc/' || lpad(i::VARCHAR, 2, '0') || '/' || lpad(lower(to_hex(v::BIT::UTINYINT::UBIGINT)), 16, '0') AS bucket, version::BIGINT AS version, count(*)::BIGINT AS members,
+  sha256(string_agg(key || chr(9) || code, chr(10) ORDER BY key || chr(9) || code)) AS hash FROM m GROUP BY ALL) SELECT * FROM s""")
+def index_segments(spark, d):
+    return _index(spark, d).segments()
+
+
 # -- trees -------------------------------------------------------------------------------------------------------------
 
 _T = EV + """, k AS (SELECT key, sha256(key) AS h FROM o WHERE outcome = 'queued'), c AS (SELECT r.d AS depth, substr(h, 1, 2) AS part, substr(h, 3, 2 * r.d) AS prefix, count(*)::BIGINT AS n FROM k, range(5) r(d) GROUP BY ALL),
@@ -469,19 +524,37 @@ def tree_shape_by_depth(spark, d):
     return tree.shape(_entries(spark, d), 2).groupBy("depth", "kind").agg(F.count("*").alias("nodes"), F.sum("n_entries").alias("entries"))
 
 
-@query(EV + ", k AS (SELECT *, " + p("key") + """ AS partition_id FROM o WHERE outcome = 'queued'),
-l AS (SELECT partition_id, 'L' || chr(10) || string_agg(key || chr(9) || content_hash || chr(9) || size || chr(9) || created_ms || chr(9) || '-', chr(10) ORDER BY key) AS bytes FROM k GROUP BY partition_id)
-SELECT 'partition/' || lpad(partition_id::VARCHAR, 3, '0') AS name, sha256(bytes) AS root FROM l""")
+_N = EV + ", src AS (SELECT * FROM o WHERE outcome = 'queued'{}),\n" + nodes_sql("src", 2)
+
+
+@query(_N.replace("{}", "") + ROOTS)
 def tree_roots(spark, d):
-    return bulk.build(_entries(spark, d))[1]
+    return bulk.build(_entries(spark, d), 2)[1]
+
+
+def _grown(spark, d, denylist: DataFrame | None = None) -> DataFrame:
+    """A tree of a third of the entries, then of another, then of all of them again."""
+    rows = _entries(spark, d)
+    nodes = bulk.build(rows.filter("seq % 3 = 0"), 2, denylist)[0]
+    for some in (rows.filter("seq % 3 = 1"), rows):
+        nodes = tree.updated(nodes, tree.insert(nodes, some, 2, denylist))
+    return nodes
+
+
+@query(_N.replace("{}", "") + ROOTS)
+def tree_insert_batch(spark, d):
+    return tree.roots(_grown(spark, d))
+
+
+@query(_N.replace("{}", " AND seq % 5 <> 0") + ROOTS)
+def tree_insert_denied(spark, d):
+    return tree.roots(_grown(spark, d, _entries(spark, d).filter("seq % 5 = 0").select("key")))
 
 
-@query(EV + ", k AS (SELECT *, sha256(key) AS h FROM o WHERE outcome = 'queued' AND seq % 2 = 0), l AS (SELECT content_hash FROM k) SELECT count(DISTINCT content_hash)::BIGINT AS value_hashes FROM l")
+@query(_N.replace("{}", "") + " SELECT x AS hash FROM n0 UNION SELECT x FROM n1 UNION SELECT x FROM n2 UNION SELECT x FROM n3 UNION SELECT x FROM n4 UNION SELECT content_hash FROM src")
 def tree_marks(spark, d):
-    rows = _entries(spark, d).filter("seq % 2 = 0")
-    nodes = tree.hashes(rows, tree.shape(rows, 4))
-    marks = tree.marked(nodes, rows)
-    return marks.join(nodes.select(F.col("node_hash").alias("hash")), "hash", "left_anti").agg(F.count("*").alias("value_hashes"))
+    rows = _entries(spark, d)
+    return tree.marked(bulk.build(rows, 2)[0], rows)
 
 
 # -- roots and replicas ------------------------------------------------------------------------------------------------
@@ -557,6 +630,12 @@ def heal_roots(spark, d):
     return a.select(F.lit("to_document").alias("side"), "name", "root").unionByName(b.select(F.lit("to_local").alias("side"), "name", "root"))
 
 
+@query(_R + " SELECT name, root FROM latest WHERE name = 'partition/007'")
+def named_root(spark, d):
+    log = docs(spark, d).select(keys.partition_name(F.col("partition_id")).alias("name"), F.col("content_hash").alias("root"), F.col("seq").alias("version"))
+    return sync.named_root(log, "partition/007")
+
+
 @query(REC + "SELECT count(*)::BIGINT AS records, count(*) FILTER (WHERE status = 'pending')::BIGINT AS queue_depth FROM rec")
 def health(spark, d):
     records = docs(spark, d)
@@ -615,17 +694,19 @@ def denylist_scan(spark, d):
     return dump.denylist(spark, path)
 
 
-_P = """WITH s AS (SELECT page_id AS seq, 'f01551220' || sha256('page-' || (page_id % 200)::VARCHAR) AS key, '{"n":' || (page_id % 50)::VARCHAR || '}' AS value FROM pages),
+_S = """WITH s AS (SELECT page_id AS seq, 'f01551220' || sha256('page-' || (page_id - (page_id % 5 = 4)::INT)::VARCHAR) AS key, '{"html":"' || sha256(coalesce(html, '')) || '","n":' || page_id::VARCHAR || '}' AS value FROM pages),
 o AS (SELECT *, first_value(seq) OVER (PARTITION BY key ORDER BY seq) = seq AS own FROM s), n AS (SELECT DISTINCT 'f01551220' || sha256('page-' || doc_id::VARCHAR) AS key FROM labels WHERE toxic = 1)
-SELECT o.key, """ + p("o.key") + " AS partition_id, sha256(value) AS content_hash, CASE WHEN n.key IS NULL THEN 'published' ELSE 'denylisted' END AS status FROM o LEFT JOIN n ON o.key = n.key WHERE own"
+"""
+_P = _S + "SELECT o.key, " + p("o.key") + " AS partition_id, sha256(value) AS content_hash, CASE WHEN n.key IS NULL THEN 'published' ELSE 'denylisted' END AS status FROM o LEFT JOIN n ON o.key = n.key WHERE own"
 
 
 def _submissions(spark, d):
-    """Pages, two rows of every fifth under the key of an earlier one."""
+    """Pages, every fifth under the key of the one before it; the value names the page's own content."""
     rows = fixtures.table(spark, d, "pages")
     denied = fixtures.table(spark, d, "labels").filter("toxic = 1").select(fixtures.key_of("page-", F.col("doc_id")).alias("key")).distinct()
-    value = F.concat(F.lit('{"n":'), (F.col("page_id") % 50).cast("string"), F.lit("}"))
-    return rows.select(F.col("page_id").alias("seq"), fixtures.key_of("page-", F.col("page_id") % 200).alias("key"), value.alias("value")), denied
+    value = F.concat(F.lit('{"html":"'), F.sha2(F.coalesce("html", F.lit("")), 256), F.lit('","n":'), F.col("page_id").cast("string"), F.lit("}"))
+    ident = F.col("page_id") - F.when(F.col("page_id") % 5 == 4, 1).otherwise(0)
+    return rows.select(F.col("page_id").alias("seq"), fixtures.key_of("page-", ident).alias("key"), value.alias("value")), denied
 
 
 @query(_P)
@@ -647,10 +728,19 @@ def publish_stream(spark, d):
     return registry.records().select("key", "partition_id", "content_hash", "status")
 
 
-@query(REC + "SELECT count(DISTINCT partition_id)::BIGINT AS names, count(DISTINCT partition_id)::BIGINT AS roots FROM rec WHERE status = 'published'")
-def snapshot_digests(spark, d):
-    out = partition_digests(docs(spark, d).filter("status = 'published'"))
-    return out.agg(F.count_distinct("name").alias("names"), F.count_distinct("root").alias("roots"))
+@query(_S + """, src AS (SELECT o.key, sha256(value) AS content_hash, octet_length(encode(value))::BIGINT AS size, 1704067200000 AS created_ms FROM o ANTI JOIN n USING (key) WHERE own),
+""" + nodes_sql("src", 2) + ROOTS)
+def published_roots(spark, d):
+    """Published in three cycles: the roots of the log are those of the trees."""
+    rows, denied = _submissions(spark, d)
+    registry, at = Registry(spark, workspace(spark, "registry"), limit=2), F.timestamp_seconds(F.lit(fixtures.BASE_SECONDS))
+    most = rows.agg(F.max("seq")).first()[0] // 10 * 5  # an even cut: a key's two pages stay together
+    registry.submit(rows.filter(F.col("seq") < most), 1, at)
+    registry.publish(2, at, denied, most=20)
+    registry.publish(3, at, denied)
+    registry.submit(rows, 4, at)
+    registry.publish(5, at, denied)
+    return sync.latest_roots(registry.root_log()).select("name", "root")
 
 
 @query(REC + "SELECT key, size FROM rec WHERE partition_id = 7 AND status = 'published'")
@@ -663,13 +753,13 @@ def spilled_partition(spark, d):
 @query("SELECT DISTINCT sha256(coalesce(text, '')) AS hash, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM documents")
 def blob_put(spark, d):
     own = docs(spark, d)
-    return own.unionByName(own).select(F.col("content_hash").alias("hash"), "size").dropDuplicates(["hash"])
+    rows = own.select(F.col("content_hash").alias("hash"), "size", "seq")
+    return put(rows.filter("seq % 2 = 0"), rows).select("hash", "size")
 
 
 @query("SELECT page_id % 10 AS batch, count(*) FILTER (WHERE octet_length(encode(coalesce(html, ''))) > 4000)::BIGINT AS errors, count(*)::BIGINT AS n FROM pages GROUP BY 1")
 def batch_errors(spark, d):
-    rows = fixtures.pages(spark, d).withColumn("error", F.when(F.col("size") > 4000, "value_too_large"))
-    return rows.groupBy((F.col("seq") % 10).alias("batch")).agg(F.count_if(F.col("error").isNotNull()).alias("errors"), F.count("*").alias("n"))
+    return submit.batch_errors(_checked_pages(spark, d).withColumn("batch", F.col("seq") % 10))
 
 
 @query(REC + "SELECT (max(created_s) * 1000)::BIGINT AS newest_ms, count(*)::BIGINT AS n FROM (SELECT * FROM rec ORDER BY key LIMIT 50 OFFSET 100)")
@@ -677,6 +767,33 @@ def page_newest(spark, d):
     return lookup.page(docs(spark, d), 100, 50).agg(F.unix_millis(F.max("created_at")).alias("newest_ms"), F.count("*").alias("n"))
 
 
+@query(REC + "SELECT partition_id, count(*)::BIGINT AS n, min(key) AS first_key FROM rec WHERE status = 'published' GROUP BY partition_id")
+def spilled_keys(spark, d):
+    path = workspace(spark, "spill")
+    bulk.spilled(docs(spark, d), path, ("key",))
+    return spark.read.parquet(path).groupBy("partition_id").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
+
+
+@query(REC + "SELECT key, partition_id, CASE WHEN seq % 4 = 0 THEN sha256(content_hash) ELSE content_hash END AS content_hash, CASE WHEN seq % 4 = 0 THEN 'published' ELSE status END AS status FROM rec")
+def bulk_overwritten(spark, d):
+    own = docs(spark, d)
+    incoming = own.filter("seq % 4 = 0").withColumn("content_hash", F.sha2("content_hash", 256))
+    out = bulk.mark_published(own, incoming.unionByName(incoming.withColumns({"seq": F.col("seq") - 1, "content_hash": F.lit("old")})), F.current_timestamp())
+    return out.select("key", "partition_id", "content_hash", "status")
+
+
+_WAY = " ".join(f"LEFT JOIN n{i} ON n{i}.part = substr(h, 1, 2) AND n{i}.prefix = substr(h, 3, {2 * i})" for i in range(5))
+
+
+@query(_N.replace("{}", "") + ", lost AS (SELECT DISTINCT part FROM (" + " UNION ALL ".join(f"SELECT * FROM n{i}" for i in range(5)) + """) WHERE x LIKE '0%')
+SELECT key, content_hash, size, created_ms::BIGINT AS created_ms, substr(h, 1, 2) NOT IN (SELECT part FROM lost) AS complete FROM (SELECT *, sha256(key) AS h FROM src) """ + _WAY + " WHERE " + " AND ".join(f"coalesce(n{i}.x, '-') NOT LIKE '0%'" for i in range(5)))
+def tree_scan_deadline(spark, d):
+    """Nodes whose hash begins with 0 can't be read in time; they hide what is below them."""
+    nodes = bulk.build(_entries(spark, d), 2)[0]
+    entries, complete = tree.scanned(nodes, nodes.filter("node_hash NOT LIKE '0%'"))
+    return entries.join(complete, "partition_id").select("key", "content_hash", "size", F.unix_millis("created_at").alias("created_ms"), "complete")
+
+
 @query(EV + ", k AS (SELECT *, " + p("key") + """ AS partition_id FROM o WHERE outcome = 'queued'),
 l AS (SELECT partition_id, sha256('L' || chr(10) || string_agg(key || chr(9) || content_hash || chr(9) || size || chr(9) || created_ms || chr(9) || '-', chr(10) ORDER BY key)) AS h FROM k GROUP BY partition_id)
 SELECT partition_id, h NOT LIKE '0%' AS complete FROM l""")

@@ -214,8 +214,8 @@ def test_stream_equals_batch(spark, tmp_path):
     batch.publish(2, at())
     fields = ("key", "content_hash", "status", "partition_id")
     assert sorted(map(str, registry.records().select(*fields).collect())) == sorted(map(str, batch.records().select(*fields).collect()))
-    publisher.watch(spark, f"{tmp_path}/stream", f"{tmp_path}/cp2", "roots_seen").awaitTermination()
-    assert spark.table("roots_seen").count() == registry.root_log().count()
+    publisher.watch(spark, f"{tmp_path}/stream", f"{tmp_path}/cp2", f"{tmp_path}/seen").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/seen").count() == registry.root_log().count()
 
 
 def test_codes_from_submission_reach_the_records(spark, tmp_path):
