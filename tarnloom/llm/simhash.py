@@ -11,8 +11,9 @@ cells are shared and the grid leaves little out; the rows stay 33 a fingerprint.
 
 Two bits are far less than what near copies of prose differ in. Asked for a similarity, the operator also links documents
 whose sets of five-word shingles have that Jaccard similarity. Signatures of smallest shingles are cut into bands; a band's
-group proposes its members with its smallest and largest, and where that does not join the group, all pairs that are not
-joined. The sets themselves decide.
+group proposes its members with its smallest and largest. Where that does not join the group, its members outside the main
+component meet all others, block by block, and are compared there; a block returns just the links that join what it
+has not joined yet, never its pairs. The sets themselves decide.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ _BLOCK = 1 << 16
 #: Smallest shingles in a band (a byte each), and bands: sets of Jaccard similarity 0.8 share one with a probability of 0.999.
 ROWS, BANDS = 8, 40
 #: Members of a mixed group on either side of a block.
-CHUNK = 512
+CHUNK = 256
 _FLIP, _ODD = np.random.default_rng(42).integers(0, 1 << 32, (2, ROWS * BANDS), np.uint32) | np.array([[0], [1]], np.uint32)
 
 
@@ -165,7 +166,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def shared_bands(nodes: DataFrame) -> DataFrame:
-    """(key, node, first, last, n): the members of each band's group of two nodes or more; first and last are its ends."""
+    """(key, band, node, first, last, n): the members of each band's group of two nodes or more; first and last are its ends."""
 
     def cut(batches):
         for batch in batches:
@@ -173,41 +174,82 @@ def shared_bands(nodes: DataFrame) -> DataFrame:
                 some = batch.slice(at, 2048)
                 value = (_matrix(some.column(1)).view("<u8") ^ np.arange(1, BANDS + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 key = ((value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(some.column(0).to_numpy(), BANDS))], names=["key", "node"])
+                band = np.tile(np.arange(BANDS, dtype=np.int8), some.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(band), pa.array(np.repeat(some.column(0).to_numpy(), BANDS))], names=["key", "band", "node"])
 
-    members = nodes.select("node", "sig").mapInArrow(cut, "key long, node long")
+    members = nodes.select("node", "sig").mapInArrow(cut, "key long, band byte, node long")
     groups = members.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).filter("n > 1")
     return members.join(groups, "key")
 
 
-def mixed_pairs(shared: DataFrame, labels: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """(a, b, same): all pairs of a group whose labels differ and whose signatures agree in `least` bytes or more.
+def jaccard_at_least(u: np.ndarray, v: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have this Jaccard similarity or more."""
+    if min(len(u), len(v)) < similarity * max(len(u), len(v)) - 1e-9:
+        return False
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return both >= similarity * (len(u) + len(v) - both) - 1e-9
+
+
+class Joined(dict):
+    """Labels joined so far: the one that stands for each."""
+
+    def of(self, x: int) -> int:
+        while self.get(x, x) != x:
+            x = self[x]
+        return x
+
+
+def mixed_links(shared: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, least: int, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): links that join what the members of a group are still apart in, for groups whose labels differ.
 
     Groups of three have no pair without an end. In a larger one the members outside the most frequent label meet all others,
-    in blocks of about CHUNK by CHUNK, so a group of any size is dealt over many tasks.
+    in blocks of about CHUNK by CHUNK, so a group of any size is dealt over many tasks. Pairs whose signatures agree in `least`
+    bytes or more are compared by their shingles, the likeliest first, unless earlier links of the block have joined
+    them; a pair is looked at in its first common band alone. So a block returns fewer links than it has members.
     """
-    some = shared.filter("n > 3").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("l"))
+    some = shared.filter("n > 3").join(labels, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("l"))
     of = some.groupBy("key", "l").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "l")).alias("main")).filter("n > main.c")
     some = some.join(of.select("key", F.ceil(F.col("n") / CHUNK).alias("all"), F.ceil((F.col("n") - F.col("main.c")) / CHUNK).alias("outer"), F.col("main.l").alias("main")), "key")
-    some = some.join(nodes.select("node", "sig"), "node")
+    some = some.join(nodes.select("node", "sig"), "node").join(texts, "node")
     till = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("node", "key"), F.col(n))
-    left = some.filter("l <> main").select("key", place("outer").alias("i"), till("all").alias("j"), F.lit(True).alias("is_outer"), "node", "l", "sig")
-    right = some.select("key", till("outer").alias("i"), place("all").alias("j"), F.lit(False).alias("is_outer"), "node", "l", "sig")
+    own = ("band", "node", "l", "sig", "text")
+    left = some.filter("l <> main").select("key", place("outer").alias("i"), till("all").alias("j"), F.lit(True).alias("is_outer"), *own)
+    right = some.select("key", till("outer").alias("i"), place("all").alias("j"), F.lit(False).alias("is_outer"), *own)
 
-    def meet(block: pa.Table):
+    def meet(block: pa.Table, hashes: WordHashes) -> list[tuple[int, int]]:
         outer = block.column("is_outer").to_numpy()
-        node, label, sig = block.column("node").to_numpy(), block.column("l").to_numpy(), _matrix(block.column("sig"))
+        node, label, band = (block.column(c).to_numpy() for c in ("node", "l", "band"))
+        sig, text = _matrix(block.column("sig")), block.column("text")
+        bands = np.ascontiguousarray(sig).view("<u8")
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(i: int) -> np.ndarray:
+            if node[i] not in sets:
+                sets[node[i]] = shingle_set((text[i].as_py() or "").encode(), shingle, hashes)
+            return sets[node[i]]
+
         xs, ys = np.flatnonzero(outer), np.flatnonzero(~outer)
-        for x in xs:
+        found: list[tuple[int, int, int]] = []
+        for x in xs.tolist():
             same = (sig[ys] == sig[x]).sum(axis=1, dtype=np.int32)
-            keep = (same >= least) & (label[ys] != label[x])
-            if keep.any():
-                mine, other = np.full(int(keep.sum()), node[x]), node[ys[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other)), pa.array(same[keep])], names=["a", "b", "same"])
+            near = np.flatnonzero((same >= least) & (label[ys] != label[x]))
+            first = (bands[ys[near]] == bands[x]).argmax(axis=1) == band[x]
+            found += [(-int(same[k]), x, int(ys[k])) for k in near[first]]
+        joined, links = Joined(), []
+        for _, x, y in sorted(found):
+            p, q = joined.of(int(label[x])), joined.of(int(label[y]))
+            if p != q and jaccard_at_least(shingles(x), shingles(y), similarity):
+                joined[max(p, q)] = min(p, q)
+                links.append((int(min(node[x], node[y])), int(max(node[x], node[y]))))
+        return links
 
     def run(batches):
-        held = None
+        hashes, held = WordHashes(), None
+
+        def out(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -217,14 +259,14 @@ def mixed_pairs(shared: DataFrame, labels: DataFrame, nodes: DataFrame, least: i
             cuts = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             at = 0
             for end in cuts.tolist():
-                yield from meet(t.slice(at, end - at))
+                yield out(meet(t.slice(at, end - at), hashes))
                 at = end
             held = t.slice(at)
         if held is not None:
-            yield from meet(held)
+            yield out(meet(held, hashes))
 
     rows = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(run, "a long, b long, same int").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def exact_links(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -244,9 +286,7 @@ def exact_links(pairs: DataFrame, texts: DataFrame, similarity: float, shingle:
         for batch in batches:
             keep = []
             for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                u, v = shingles(a, x), shingles(b, y)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
+                keep.append(jaccard_at_least(shingles(a, x), shingles(b, y), similarity))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
     sides = pairs.select("a", "b").join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
@@ -256,17 +296,17 @@ def exact_links(pairs: DataFrame, texts: DataFrame, similarity: float, shingle:
 def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int, into: list[str]) -> DataFrame:
     """(a, b): links that join all nodes (node, sig, text_hash) that share a band and whose shingles are that similar.
 
-    Proposed are first the pairs of each band's group with the group's ends. Groups that are not one component then have all
-    their pairs proposed whose ends are in different ones. Signatures drop pairs that are 4 standard errors under the
-    similarity; the rest is compared exactly: first each node's best pair, then all whose ends are not yet joined.
-    texts: (text_hash, text).
+    Proposed are first the pairs of each band's group with the group's ends. Signatures drop pairs that are 4 standard errors
+    under the similarity; the rest is compared exactly: first each node's best pair, then all whose ends are not yet joined.
+    What is then still apart in a group is settled by mixed_links(). texts: (text_hash, text).
     """
     size = ROWS * BANDS
     least = math.floor(size * similarity - 4 * math.sqrt(size * similarity * (1 - similarity)))
     shared = staged(shared_bands(nodes), "bands", into=into)
     used = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "text_hash")
-    wanted = used.select("text_hash").distinct()
-    texts = staged(texts.join(wanted, "text_hash", "left_semi").dropDuplicates(["text_hash"]).join(used, "text_hash").select("node", "text"), "texts", into=into)
+    # copies are one text before the shuffle; an inner join, as Spark would put a semi-join below the aggregation
+    once = texts.groupBy("text_hash").agg(F.first("text").alias("text"))
+    texts = staged(once.join(used, "text_hash").select("node", "text"), "texts", into=into)
 
     def near(batches):
         for batch in batches:
@@ -288,8 +328,8 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle
     sides = star.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
     star = staged(sides.select("a", "b", "x", "y").mapInArrow(near, "a long, b long, same int"), "star-pairs", into=into)
     found = verified(star)
-    mixed = mixed_pairs(shared, staged(components(found), "labels", into=into), nodes, least)
-    return found.unionByName(verified(staged(mixed.join(star.select("a", "b"), ["a", "b"], "left_anti"), "mixed-pairs", into=into)))
+    labels = staged(components(found), "labels", into=into)
+    return found.unionByName(staged(mixed_links(shared, labels, nodes, texts, least, similarity, shingle), "mixed-links", into=into))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, similarity: float | None = None, wide_shingle: int = 5) -> DataFrame:
