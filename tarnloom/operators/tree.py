@@ -36,9 +36,9 @@ def shape(entries: DataFrame, limit: int = LEAF_LIMIT, base: str | None = None)
     base: a column with the depth at which an entry's subtree begins, if not at the root.
     """
     rest = placed(entries).select("partition_id", "path", (F.lit(0) if base is None else F.col(base)).alias("base"))
-    least = 0 if base is None else rest.agg(F.max("base")).first()[0] or 0
+    top, least = (0, 0) if base is None else (x or 0 for x in rest.agg(F.min("base"), F.max("base")).first())
     levels = []
-    for depth in range(DEPTH_LIMIT + 1):
+    for depth in range(top, DEPTH_LIMIT + 1):
         here, at = rest.filter(F.col("base") <= depth), F.left("path", F.lit(2 * depth))
         counts = here.groupBy("partition_id", at.alias("prefix")).agg(F.count("*").alias("n_entries"))
         last = depth == DEPTH_LIMIT
