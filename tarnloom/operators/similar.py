@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import codes
+from ..lineage import cut
 from ..schema import BAND
 
 MAX_RADIUS, BANDS = 16, 8
@@ -32,9 +38,17 @@ def bucket_sizes(band_table: DataFrame) -> DataFrame:
 def probes(queries: DataFrame, probe: int, n: int = BANDS) -> DataFrame:
     """The buckets that each query (query_key, query_code) looks into: each band with every mask of at most `probe` bits."""
     width = codes.check_bands(n)
-    masks = F.array(*[F.lit(m).cast("long") for m in codes.probe_masks(width, probe)])
     each = queries.select("query_key", "query_code", F.posexplode(codes.band_values(F.col("query_code"), n)).alias("band_index", "own"))
-    return each.withColumn("mask", F.explode(masks)).select("query_key", "query_code", "band_index", F.col("own").bitwiseXOR(F.col("mask")).alias("band_value"))
+    return each.withColumn("mask", F.explode(_masks(width, probe))).select("query_key", "query_code", "band_index", F.col("own").bitwiseXOR(F.col("mask")).alias("band_value"))
+
+
+def _masks(width: int, probe: int) -> Column:
+    return F.array(*[F.lit(m).cast("long") for m in codes.probe_masks(width, probe)])
+
+
+#: Bands of at most so many bits have large buckets, which are compared in blocks; members of a block at most, comparisons of a
+#: task and bytes of its blocks at about most, and comparisons and pairs at a time.
+BLOCK_WIDTH, BLOCK, TASK_WORK, TASK_BYTES, SLAB, FLUSH = 8, 4096, 1 << 28, 32 << 20, 1 << 18, 1 << 16
 
 
 def hamming_join(queries: DataFrame, entries: DataFrame, radius: int, n: int = BANDS, probe: int | None = None, band_table: DataFrame | None = None) -> DataFrame:
@@ -42,25 +56,107 @@ def hamming_join(queries: DataFrame, entries: DataFrame, radius: int, n: int = B
 
     An equi-join on (band, value) with the distance as its residual. Each pair is reported by its lowest shared band alone,
     so nothing needs deduplicating after the join. probe None: the smallest that misses no pair; a smaller one is the
-    approximate search. Equal codes meet once a distinct code: repeats are joined back afterwards. band_table: entries' bands
-    where they are at hand, as in a stored index.
+    approximate search. Buckets of narrow bands are joined as blocks of members, which are compared without a row a candidate;
+    those of wide ones hold few members and are joined row by row. band_table: entries' bands where they are at hand, as in a
+    stored index.
     """
     p = codes.exact_probe(radius, n) if probe is None else probe
+    left = queries.filter(F.col("query_code").isNotNull()).select("query_key", "query_code")
+    right = entries.filter(F.col("content_code").isNotNull()).select("key", "content_code")
+    if codes.check_bands(n) <= BLOCK_WIDTH:
+        return _block_join(left, bands(right, n) if band_table is None else band_table, radius, n, p)
+    return _row_join(left, right, radius, n, p, band_table)
+
+
+def _row_join(left: DataFrame, right: DataFrame, radius: int, n: int, p: int, band_table: DataFrame | None) -> DataFrame:
+    """Equal codes meet once a distinct code: repeats are joined back afterwards."""
     width = codes.check_bands(n)
-    left = queries.filter(F.col("query_code").isNotNull())
     q = probes(left.select(F.lit("").alias("query_key"), "query_code").distinct(), p, n).drop("query_key")
     if band_table is None:
-        e = bands(entries.filter(F.col("content_code").isNotNull()).select(F.lit("").alias("key"), "content_code").distinct(), n).drop("key")
+        e = bands(right.select(F.lit("").alias("key"), "content_code").distinct(), n).drop("key")
     else:
         e = band_table.select("band_index", "band_value", "content_code").distinct()
     apart = codes.distance(F.col("query_code"), F.col("content_code"))
-    met = q.join(e, ["band_index", "band_value"]).withColumn("distance", apart).filter(F.col("distance") <= radius)
+    # Catalyst takes the size of probes from the queries before they are multiplied, so it must not choose to broadcast them
+    met = q.join(e.hint("merge"), ["band_index", "band_value"]).withColumn("distance", apart).filter(F.col("distance") <= radius)
     mask = (1 << width) - 1 if width < 64 else -1
     x = F.col("query_code").bitwiseXOR(F.col("content_code"))
     near = F.array(*[F.bit_count(F.shiftrightunsigned(x, 64 - width * (i + 1)).bitwiseAND(F.lit(mask))) <= p for i in range(n)])
     first = F.array_position(near, True) - 1
     pairs = met.filter(F.col("band_index") == first).select("query_code", "content_code", "distance")
-    return pairs.join(left, "query_code").join(entries.select("key", "content_code"), "content_code").select("query_key", "key", "query_code", "content_code", "distance")
+    return pairs.join(left, "query_code").join(right, "content_code").select("query_key", "key", "query_code", "content_code", "distance")
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """(band_index, band_value, keys, codes): members (BAND) of a bucket, BLOCK at most in a block. A bucket of any size is
+    dealt to several tasks by its keys."""
+    schema = T.StructType([*BAND.fields[:2], T.StructField("keys", T.ArrayType(T.StringType())), T.StructField("codes", T.ArrayType(T.LongType()))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            band, value = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            new = np.ones(len(band), bool)
+            new[1:] = (band[1:] != band[:-1]) | (value[1:] != value[:-1])
+            new[::BLOCK] = True
+            at = np.flatnonzero(new)
+            ends = pa.array(np.append(at, len(band)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, b.column(i).cast(kind)) for i, kind in ((2, pa.string()), (3, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(band[at], pa.int32()), pa.array(value[at], pa.int64()), *lists], names=schema.names)
+
+    rows = members.select(*BAND.names).repartitionByRange("band_index", "band_value", "key").sortWithinPartitions("band_index", "band_value")
+    return rows.mapInArrow(pack, schema)
+
+
+def _block_join(left: DataFrame, members: DataFrame, radius: int, n: int, p: int) -> DataFrame:
+    """Blocks of queries meet blocks of entries in the buckets that they look into. Blocks that meet are dealt out evenly, so a
+    large bucket's comparisons are shared; keys travel in the blocks, so pairs are joined with nothing afterwards."""
+    width = codes.check_bands(n)
+    q = cut(blocks(bands(left.toDF("key", "content_code"), n))).toDF("band_index", "own", "query_keys", "query_codes")
+    q = q.withColumn("mask", F.explode(_masks(width, p))).withColumn("band_value", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask")
+    e = cut(blocks(members))
+
+    def load(df: DataFrame, keys: str, as_: str) -> DataFrame:
+        long = F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a + 16 + F.coalesce(F.length(k), F.lit(0)))
+        return df.groupBy("band_index", "band_value").agg(F.count("*").alias(f"{as_}_blocks"), F.sum(F.size(keys).cast("double")).alias(as_), F.sum(long.cast("double")).alias(f"{as_}_bytes"))
+
+    met = load(q, "query_keys", "q").join(load(e, "keys", "e"), ["band_index", "band_value"])
+    work = met.agg(F.sum(F.col("q") * F.col("e")), F.sum(F.col("q_bytes") * F.col("e_blocks") + F.col("e_bytes") * F.col("q_blocks"))).first()
+    tasks = int(max((work[0] or 0) / TASK_WORK, (work[1] or 0) / TASK_BYTES)) + 1
+    low = [(64 - width * (i + 1), (1 << width) - 1) for i in range(n)]
+    schema = T.StructType([T.StructField("query_key", T.StringType()), T.StructField("key", T.StringType()), T.StructField("query_code", T.LongType()), T.StructField("content_code", T.LongType()), T.StructField("distance", T.IntegerType())])
+
+    def within(band: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Places in a and b, and distances, of pairs within the radius that no band before this one reports."""
+        step = max(1, SLAB // len(b))
+        found, size = [], 0
+        for at in range(0, len(a), step):
+            x = a[at : at + step, None] ^ b[None, :]
+            d = np.bitwise_count(x).ravel()
+            hit = np.flatnonzero(d <= radius)
+            x = x.ravel()[hit]
+            for shift, mask in low[:band]:
+                other = np.bitwise_count((x >> np.uint64(shift)) & np.uint64(mask)) > p
+                hit, x = hit[other], x[other]
+            if len(hit):
+                found.append((hit // len(b) + at, hit % len(b), d[hit]))
+                size += len(hit)
+            if size >= FLUSH:
+                yield tuple(map(np.concatenate, zip(*found)))
+                found, size = [], 0
+        if found:
+            yield tuple(map(np.concatenate, zip(*found)))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                band = batch.column(0)[r].as_py()
+                a_keys, a, b_keys, b = (batch.column(i)[r].values for i in range(1, 5))
+                for i, j, d in within(band, a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64)):
+                    i, j = pa.array(i), pa.array(j)
+                    yield pa.RecordBatch.from_arrays([a_keys.take(i), b_keys.take(j), a.take(i), b.take(j), pa.array(d.astype(np.int32))], names=schema.names)
+
+    both = q.join(e.hint("merge"), ["band_index", "band_value"]).select("band_index", "query_keys", "query_codes", "keys", "codes")
+    return both.repartition(tasks).mapInArrow(compare, schema)
 
 
 #: Queries that brute force broadcasts at most (some 100 bytes each).

@@ -226,3 +226,42 @@ def test_codes_from_submission_reach_the_records(spark, tmp_path):
     r = registry.records().select(codes.shown(F.col("content_code")).alias("c")).first()
     assert r.c == "0x0101010070020204"
     assert lookup.with_values(registry.records(), registry.blobs()).first().value == '{"iscc":"ISCC:EAAQCAIBABYAEAQE"}'
+
+
+def _codes(n: int, salt: int, spread: int = 64):
+    """Codes of `spread` random bits, every tenth a near copy of the one before it, some repeated and some null."""
+    rng = random.Random(salt)
+    out = []
+    for i in range(n):
+        x = rng.getrandbits(spread) if i % 10 or not out else out[-1] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(16)))
+        out.append(out[i // 2] if i % 37 == 36 else x)
+    return [x - (1 << 64) if x >= 1 << 63 else x for x in out]
+
+
+def _sides(spark, n: int, spread: int = 64):
+    left = spark.createDataFrame([(f"q{i}", x) for i, x in enumerate(_codes(n, 1, spread))] + [("none", None)], "query_key string, query_code long")
+    right = spark.createDataFrame([(f"e{i}", x) for i, x in enumerate(_codes(n, 1, spread)[: n // 2] + _codes(n, 2, spread))] + [("n", None)], "key string, content_code long")
+    return left, right
+
+
+def _found(df):
+    return sorted(tuple(r) for r in df.select("query_key", "key", "query_code", "content_code", "distance").collect())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize(("spread", "radius", "work"), [(64, 15, 10_000), (12, 2, 100_000)])
+def test_candidates_are_compared_in_blocks(spark, monkeypatch, spread, radius, work):
+    """hamming_pairs_banded: no row a candidate pair; also where one bucket holds most members, blocks are many and short."""
+    left, right = _sides(spark, 200, spread)
+    want = _found(similar.brute_force(left, right, radius))
+    df = similar.hamming_join(left, right, radius, probe=1)
+    assert _found(df) == want and len(want) > 100
+    assert "bit_count" not in _plan(df) and "MapInArrow" in _plan(df)
+    for name, value in (("BLOCK", 16), ("SLAB", 64), ("FLUSH", 8), ("TASK_WORK", work)):
+        monkeypatch.setattr(similar, name, value)
+    df = similar.hamming_join(left, right, radius, probe=1)
+    assert _found(df) == want and df.rdd.getNumPartitions() > 1
+    assert _found(similar.hamming_join(left.limit(0), right, radius)) == []
