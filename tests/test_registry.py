@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tarnloom import plans
 from tarnloom.functions import codes
 from tarnloom.operators import audit, bulk, lookup, similar, submit, summary, sync, tree
 from tarnloom.sources import dump, fixtures
@@ -265,3 +266,14 @@ def test_candidates_are_compared_in_blocks(spark, monkeypatch, spread, radius, w
     df = similar.hamming_join(left, right, radius, probe=1)
     assert _found(df) == want and df.rdd.getNumPartitions() > 1
     assert _found(similar.hamming_join(left.limit(0), right, radius)) == []
+
+
+def test_the_plan_does_not_multiply_queries_by_hundreds_of_masks(spark):
+    """hamming_pairs_planned: from some 11,000 vectors four bands of 697 masks each were chosen, and broadcast."""
+    assert all(plans.bands_for(n, 12) == 8 for n in (10_000, 20_000, 100_000, 1_000_000))
+    assert all(len(codes.probe_masks(64 // b, codes.exact_probe(r, b))) <= plans.MOST_MASKS for r in (7, 12, 15) for n in (10**4, 10**9, 10**12) for b in [plans.bands_for(n, r)])
+    rows = spark.range(500).select(F.concat(F.lit("k"), "id").alias("key"), F.xxhash64("id").alias("content_code"))
+    df = similar.hamming_join(rows.toDF("query_key", "query_code"), rows, 12, 4)
+    joins = [x for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in x and "band_index" in x]
+    assert joins and not any("Broadcast" in x for x in joins)
+    assert len(_found(df)) == similar.brute_force(rows.toDF("query_key", "query_code"), rows, 12).count()
