@@ -8,6 +8,7 @@ from tarnloom import plans
 from tarnloom.functions import codes
 from tarnloom.operators import audit, bulk, lookup, similar, submit, summary, sync, tree
 from tarnloom.sources import dump, fixtures
+from tarnloom.sources.similarity import SimilarityIndex
 from tarnloom.sources.store import Registry
 from tarnloom.streaming import publisher
 
@@ -277,3 +278,13 @@ def test_the_plan_does_not_multiply_queries_by_hundreds_of_masks(spark):
     joins = [x for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in x and "band_index" in x]
     assert joins and not any("Broadcast" in x for x in joins)
     assert len(_found(df)) == similar.brute_force(rows.toDF("query_key", "query_code"), rows, 12).count()
+
+
+def test_a_probe_makes_no_rows_of_candidates(spark):
+    """probe_pairs_p1: only pairs that share a band but for one bit, each once."""
+    left, right = _sides(spark, 150)
+    df = similar.hamming_join(left, right, 22, probe=1)
+    near = lambda a, b: any(((a ^ b) >> 8 * i & 255).bit_count() <= 1 for i in range(8))
+    every = _found(similar.brute_force(left, right, 22))
+    assert _found(df) == [r for r in every if near(r[2], r[3])] and len(every) > 150
+    assert "bit_count" not in _plan(df)
