@@ -288,3 +288,15 @@ def test_a_probe_makes_no_rows_of_candidates(spark):
     every = _found(similar.brute_force(left, right, 22))
     assert _found(df) == [r for r in every if near(r[2], r[3])] and len(every) > 150
     assert "bit_count" not in _plan(df)
+
+
+def test_a_bucket_of_any_size_is_dealt_out(spark, monkeypatch):
+    """banded_pairs_p0: members that share all their bands are many blocks, whose comparisons are shared by several tasks."""
+    monkeypatch.setattr(similar, "BLOCK", 50)
+    monkeypatch.setattr(similar, "TASK_WORK", 10_000)
+    rows = spark.range(400).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 3).alias("content_code"))
+    made = similar.blocks(similar.bands(rows)).select("band_index", F.size("keys").alias("n")).collect()
+    assert max(r.n for r in made) <= 50 and sum(r.n for r in made) == 8 * 400
+    df = similar.hamming_join(rows.toDF("query_key", "query_code"), rows, 24, probe=0)
+    sizes = df.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 400 * 400 and max(r["count"] for r in sizes) < 400 * 400 / 4
