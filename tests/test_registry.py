@@ -300,3 +300,13 @@ def test_a_bucket_of_any_size_is_dealt_out(spark, monkeypatch):
     df = similar.hamming_join(rows.toDF("query_key", "query_code"), rows, 24, probe=0)
     sizes = df.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 400 * 400 and max(r["count"] for r in sizes) < 400 * 400 / 4
+
+
+def test_index_search_compares_stored_buckets_in_blocks(spark, tmp_path):
+    """index_search: the stored band table is packed as it is."""
+    left, right = _sides(spark, 150)
+    index = SimilarityIndex(spark, f"file://{tmp_path}/i")
+    index.add(right, 1)
+    df = index.search(left, 15)
+    assert _found(df) == _found(similar.brute_force(left, right, 15))
+    assert "bit_count" not in _plan(df)
