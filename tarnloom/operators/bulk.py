@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values
+from ..lineage import cut
 from ..schema import LEAF_LIMIT, PUBLISHED, QUEUED
 from ..sources import dump
 from . import submit, tree
@@ -34,7 +35,7 @@ def spilled(records: DataFrame, path: str, columns: tuple[str, ...] = ("key", "c
 def build(entries: DataFrame, limit: int = LEAF_LIMIT, denylist: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, roots) of all partitions at once; the first entry of a key (by created_at, then hash) counts, denylisted keys
     don't."""
-    first = tree.firsts(tree.without(entries, denylist))
+    first = cut(tree.firsts(tree.without(entries, denylist)))  # every level reads it
     nodes = tree.hashes(first, tree.shape(first, limit))
     return nodes, tree.roots(nodes)
 

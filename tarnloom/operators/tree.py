@@ -48,7 +48,8 @@ def shape(entries: DataFrame, limit: int = LEAF_LIMIT, base: str | None = None)
         large = counts.filter("kind = 'intermediate'").select("partition_id", "prefix")
         if last or (depth >= least and not large.limit(1).count()):
             break
-        here = here.withColumn("prefix", at).join(large, ["partition_id", "prefix"], "left_semi").drop("prefix")
+        # cut, or each level would go through all those above it again
+        here = cut(here.withColumn("prefix", at).join(large, ["partition_id", "prefix"], "left_semi").drop("prefix"))
         rest = here if depth >= least else here.unionByName(rest.filter(F.col("base") > depth))
     return reduce(DataFrame.unionByName, levels).select("partition_id", "depth", "prefix", "kind", "n_entries")
 
@@ -126,7 +127,7 @@ def insert(nodes: DataFrame, entries: DataFrame, limit: int = LEAF_LIMIT, denyli
     A key that a tree has already, or that is denylisted, changes nothing, as does an empty batch. nodes: the newest node of
     each partition and prefix; updated() puts the changes on top of them. A batch of one entry is an insert of one.
     """
-    new = placed(firsts(without(entries, denylist)))
+    new = cut(placed(firsts(without(entries, denylist))))
     depths = range((nodes.agg(F.max("depth")).first()[0] or 0) + 1)  # DEPTH_LIMIT + 1 at most
     way = new.select("partition_id", "key", F.explode(F.array(*[F.left("path", F.lit(2 * d)) for d in depths])).alias("prefix"))
     met = way.join(nodes.select("partition_id", "prefix", "kind"), ["partition_id", "prefix"])
@@ -143,8 +144,8 @@ def insert(nodes: DataFrame, entries: DataFrame, limit: int = LEAF_LIMIT, denyli
 
 
 def updated(nodes: DataFrame, changed: DataFrame) -> DataFrame:
-    """nodes with the changed ones in their places."""
-    return nodes.select(*NODE).join(changed.select("partition_id", "prefix"), ["partition_id", "prefix"], "left_anti").unionByName(changed.select(*NODE))
+    """nodes with the changed ones in their places. They are written once: the next insert reads them some times a level."""
+    return cut(nodes.select(*NODE).join(changed.select("partition_id", "prefix"), ["partition_id", "prefix"], "left_anti").unionByName(changed.select(*NODE)))
 
 
 def scanned(nodes: DataFrame, readable: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -198,3 +198,27 @@ def test_config(tmp_path):
         path.write_text(text)
         with pytest.raises(ValueError):
             config.load(str(path), {})
+
+
+def counted(df):
+    """df, and an accumulator of the rows that were computed for it."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_trees_read_their_entries_once(spark):
+    """tree_insert_batch: not once a level and use (a checkpoint may compute what it writes twice)."""
+    names = [f"k{i}" for i in range(2000)]
+    first, seen = counted(entries(spark, names[:1500]))
+    nodes = bulk.build(first, 2)[0]
+    assert nodes.agg(F.max("depth")).first()[0] >= 2 and seen.value <= 2 * 1500
+    more, seen = counted(entries(spark, names[1000:]))
+    nodes = tree.updated(nodes, tree.insert(nodes, more, 2))
+    assert nodes.count() and nodes.count() and seen.value <= 2 * 1000
+    assert roots(nodes) == roots(bulk.build(entries(spark, names), 2)[0])
