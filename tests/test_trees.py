@@ -222,3 +222,13 @@ def test_trees_read_their_entries_once(spark):
     nodes = tree.updated(nodes, tree.insert(nodes, more, 2))
     assert nodes.count() and nodes.count() and seen.value <= 2 * 1000
     assert roots(nodes) == roots(bulk.build(entries(spark, names), 2)[0])
+
+
+def test_a_denylist_is_read_once_an_insert(spark):
+    """tree_insert_denied: nor are its keys joined again for each level."""
+    names = [f"k{i}" for i in range(1000)]
+    denied, seen = counted(entries(spark, names[::5]).select("key"))
+    nodes = bulk.build(entries(spark, names[:600]), 2, denied)[0]
+    nodes = tree.updated(nodes, tree.insert(nodes, entries(spark, names), 2, denied))
+    kept_names = [n for i, n in enumerate(names) if i % 5]
+    assert roots(nodes) == roots(bulk.build(entries(spark, kept_names), 2)[0]) and seen.value <= 2 * 2 * 200
