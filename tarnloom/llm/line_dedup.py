@@ -133,7 +133,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     hits = keys.join(frequent, "h", "left_semi").groupBy("text_hash").agg(F.collect_set("h").alias(hit)).withColumnRenamed("text_hash", row)
     hits = staged(hits, "text-hits")
     remove(spark, *paths)
-    joined = docs.withColumn(row, F.xxhash64(F.col(text_col))).join(hits, row, "left").drop(row)
+    # a merge join at any size: texts are shuffled once, in proportion to the input, and few hits are not sent to every executor
+    joined = docs.withColumn(row, F.xxhash64(F.col(text_col))).join(hits.hint("merge"), row, "left").drop(row)
     made = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField(fresh(docs, "kept"), T.StringType())]
 
     def cut(batch: pa.RecordBatch) -> list:

@@ -1,5 +1,7 @@
 import collections
 
+from pyspark.sql import functions as F
+
 from tarnloom.llm import line_dedup
 
 WS = " \t\n\x0b\x0c\r"
@@ -70,3 +72,11 @@ def test_runs_are_merged_in_their_buckets(spark):
     anti = plan(runs.unknown(batch))
     assert anti.count("LeftAnti") == 3 and "Broadcast" not in anti and anti.count("Exchange hash") == 1
     runs.close()
+
+
+def test_hits_are_merged_at_any_size(spark):
+    """A plan that changes with the number of hits makes what is shuffled jump, from none of the texts to all of them."""
+    df = spark.range(20).select(F.col("id").alias("doc_id"), F.concat(F.lit("same\nown "), "id").alias("text"))
+    out = line_dedup.drop_frequent_lines(df, 10)
+    assert "BroadcastHashJoin" not in plan(out) and plan(out).count("SortMergeJoin") == 1
+    assert sorted(r.text for r in out.collect()) == sorted(f"own {i}" for i in range(20))
