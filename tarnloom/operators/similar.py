@@ -48,7 +48,9 @@ def _masks(width: int, probe: int) -> Column:
 
 #: Bands of at most so many bits have large buckets, which are compared in blocks; members of a block at most, comparisons of a
 #: task and bytes of its blocks at about most, and comparisons and pairs at a time.
-BLOCK_WIDTH, BLOCK, TASK_WORK, TASK_BYTES, SLAB, FLUSH = 8, 4096, 1 << 28, 32 << 20, 1 << 18, 1 << 16
+BLOCK_WIDTH, BLOCK, TASK_WORK, TASK_BYTES, SLAB, FLUSH = 8, 4096, 1 << 26, 32 << 20, 1 << 17, 1 << 16
+#: Comparisons that are worth a task while cores have fewer than so many tasks each: at a wide radius every sixth is a row.
+LEAST_WORK, CORE_TASKS = 1 << 22, 4
 
 
 def hamming_join(queries: DataFrame, entries: DataFrame, radius: int, n: int = BANDS, probe: int | None = None, band_table: DataFrame | None = None) -> DataFrame:
@@ -121,24 +123,27 @@ def _block_join(left: DataFrame, members: DataFrame, radius: int, n: int, p: int
 
     met = load(q, "query_keys", "q").join(load(e, "keys", "e"), ["band_index", "band_value"])
     work = met.agg(F.sum(F.col("q") * F.col("e")), F.sum(F.col("q_bytes") * F.col("e_blocks") + F.col("e_bytes") * F.col("q_blocks"))).first()
-    tasks = int(max((work[0] or 0) / TASK_WORK, (work[1] or 0) / TASK_BYTES)) + 1
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    tasks = int(max((work[0] or 0) / TASK_WORK, (work[1] or 0) / TASK_BYTES, min((work[0] or 0) / LEAST_WORK, CORE_TASKS * cores))) + 1
     low = [(64 - width * (i + 1), (1 << width) - 1) for i in range(n)]
     schema = T.StructType([T.StructField("query_key", T.StringType()), T.StructField("key", T.StringType()), T.StructField("query_code", T.LongType()), T.StructField("content_code", T.LongType()), T.StructField("distance", T.IntegerType())])
 
-    def within(band: int, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def within(band: int, a: np.ndarray, b: np.ndarray, space: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, ...]]:
         """Places in a and b, and distances, of pairs within the radius that no band before this one reports."""
         step = max(1, SLAB // len(b))
         found, size = [], 0
         for at in range(0, len(a), step):
-            x = a[at : at + step, None] ^ b[None, :]
-            d = np.bitwise_count(x).ravel()
-            hit = np.flatnonzero(d <= radius)
-            x = x.ravel()[hit]
+            some = a[at : at + step, None]
+            x, d, near = (s[: len(some) * len(b)] for s in space)
+            np.bitwise_xor(some, b[None, :], out=x.reshape(-1, len(b)))
+            hit = np.flatnonzero(np.less_equal(np.bitwise_count(x, out=d), radius, out=near))
+            x = x[hit]
             for shift, mask in low[:band]:
                 other = np.bitwise_count((x >> np.uint64(shift)) & np.uint64(mask)) > p
                 hit, x = hit[other], x[other]
             if len(hit):
-                found.append((hit // len(b) + at, hit % len(b), d[hit]))
+                i, j = np.divmod(hit, len(b))
+                found.append((i + at, j, d[hit]))
                 size += len(hit)
             if size >= FLUSH:
                 yield tuple(map(np.concatenate, zip(*found)))
@@ -147,11 +152,12 @@ def _block_join(left: DataFrame, members: DataFrame, radius: int, n: int, p: int
             yield tuple(map(np.concatenate, zip(*found)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = tuple(np.empty(max(SLAB, BLOCK), kind) for kind in (np.uint64, np.uint8, bool))  # once a task, not once a slab
         for batch in batches:
             for r in range(batch.num_rows):
                 band = batch.column(0)[r].as_py()
                 a_keys, a, b_keys, b = (batch.column(i)[r].values for i in range(1, 5))
-                for i, j, d in within(band, a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64)):
+                for i, j, d in within(band, a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64), space):
                     i, j = pa.array(i), pa.array(j)
                     yield pa.RecordBatch.from_arrays([a_keys.take(i), b_keys.take(j), a.take(i), b.take(j), pa.array(d.astype(np.int32))], names=schema.names)
 

@@ -310,3 +310,16 @@ def test_index_search_compares_stored_buckets_in_blocks(spark, tmp_path):
     df = index.search(left, 15)
     assert _found(df) == _found(similar.brute_force(left, right, 15))
     assert "bit_count" not in _plan(df)
+
+
+@pytest.mark.parametrize(("radius", "probe"), [(22, 1)])
+def test_comparisons_are_dealt_to_all_cores(spark, radius, probe):
+    """probe_pairs_p1: over 10 million comparisons at a wide radius make 5 million rows, too many for one task."""
+    codes_ = sum(F.shiftleft(F.shiftright(F.xxhash64("id"), 2 * i).bitwiseAND(F.lit(3)), 8 * i) for i in range(8))
+    rows = spark.range(2400).select(F.concat(F.lit("k"), "id").alias("key"), codes_.alias("content_code"))
+    df = similar.hamming_join(rows.toDF("query_key", "query_code"), rows, radius, probe=probe)
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    x = F.col("query_code").bitwiseXOR(F.col("content_code"))
+    share = [F.bit_count(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))) <= probe for i in range(8)]
+    want = rows.toDF("query_key", "query_code").crossJoin(rows).filter(F.greatest(*share) & (F.bit_count(x) <= radius))
+    assert sum(sizes) == want.count() and len(sizes) >= 3 and max(sizes) < 0.7 * sum(sizes)
