@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import plans
 from .functions import codes, keys, values
-from .lineage import shared_dir
+from .lineage import cut, shared_dir
 from .operators import audit, bulk, lookup, similar, submit, summary, sync, tree
 from .sources import dump, fixtures
 from .sources.similarity import SimilarityIndex
@@ -532,9 +532,10 @@ def tree_roots(spark, d):
     return bulk.build(_entries(spark, d), 2)[1]
 
 
-def _grown(spark, d, denylist: DataFrame | None = None) -> DataFrame:
-    """A tree of a third of the entries, then of another, then of all of them again."""
-    rows = _entries(spark, d)
+def _grown(spark, d, denied: str | None = None) -> DataFrame:
+    """A tree of a third of the entries, then of another, then of all of them again. denied: whose keys the denylist has."""
+    rows = cut(_entries(spark, d).drop("value"))  # once, not once a batch and denylist
+    denylist = None if denied is None else rows.filter(denied).select("key")
     nodes = bulk.build(rows.filter("seq % 3 = 0"), 2, denylist)[0]
     for some in (rows.filter("seq % 3 = 1"), rows):
         nodes = tree.updated(nodes, tree.insert(nodes, some, 2, denylist))
@@ -548,7 +549,7 @@ def tree_insert_batch(spark, d):
 
 @query(_N.replace("{}", " AND seq % 5 <> 0") + ROOTS)
 def tree_insert_denied(spark, d):
-    return tree.roots(_grown(spark, d, _entries(spark, d).filter("seq % 5 = 0").select("key")))
+    return tree.roots(_grown(spark, d, "seq % 5 = 0"))
 
 
 @query(_N.replace("{}", "") + " SELECT x AS hash FROM n0 UNION SELECT x FROM n1 UNION SELECT x FROM n2 UNION SELECT x FROM n3 UNION SELECT x FROM n4 UNION SELECT content_hash FROM src")

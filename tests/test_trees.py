@@ -3,10 +3,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tarnloom import config, plans
+from tarnloom import config, plans, queries
 from tarnloom.functions import keys
 from tarnloom.operators import bulk, lookup, similar, submit, sync, tree
-from tarnloom.sources import dump, store
+from tarnloom.sources import dump, fixtures, store
 from tarnloom.sources.similarity import SimilarityIndex
 from tarnloom.sources.store import Registry
 from tarnloom.streaming import publisher
@@ -232,3 +232,16 @@ def test_a_denylist_is_read_once_an_insert(spark):
     nodes = tree.updated(nodes, tree.insert(nodes, entries(spark, names), 2, denied))
     kept_names = [n for i, n in enumerate(names) if i % 5]
     assert roots(nodes) == roots(bulk.build(entries(spark, kept_names), 2)[0]) and seen.value <= 2 * 2 * 200
+
+
+def test_grown_trees_read_the_events_once(spark, monkeypatch):
+    """tree_insert_denied: not once for each batch and each denylist."""
+    d = "/root/testdata/sf0.001"
+    events, seen = counted(fixtures.submissions(spark, d))
+    want = queries._entries(spark, d).filter("seq % 5 <> 0")
+    monkeypatch.setattr(fixtures, "submissions", lambda *_: events)
+    got = {(r.name, r.root) for r in queries.tree_insert_denied(spark, d).collect()}
+    n = fixtures.table(spark, d, "events").count()
+    # the first writes are joined back, so events are read on both sides
+    assert n and seen.value <= 2 * 2 * n
+    assert got == {(r.name, r.root) for r in bulk.build(want, 2)[1].collect()}
