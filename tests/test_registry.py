@@ -312,9 +312,9 @@ def test_index_search_compares_stored_buckets_in_blocks(spark, tmp_path):
     assert "bit_count" not in _plan(df)
 
 
-@pytest.mark.parametrize(("radius", "probe"), [(22, 1)])
+@pytest.mark.parametrize(("radius", "probe"), [(22, 1), (24, 0)])
 def test_comparisons_are_dealt_to_all_cores(spark, radius, probe):
-    """probe_pairs_p1: over 10 million comparisons at a wide radius make 5 million rows, too many for one task."""
+    """probe_pairs_p1, banded_pairs_p0: over 10 million comparisons at a wide radius make 5 million rows, too many for one task."""
     codes_ = sum(F.shiftleft(F.shiftright(F.xxhash64("id"), 2 * i).bitwiseAND(F.lit(3)), 8 * i) for i in range(8))
     rows = spark.range(2400).select(F.concat(F.lit("k"), "id").alias("key"), codes_.alias("content_code"))
     df = similar.hamming_join(rows.toDF("query_key", "query_code"), rows, radius, probe=probe)
