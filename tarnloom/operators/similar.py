@@ -47,8 +47,11 @@ def _masks(width: int, probe: int) -> Column:
 
 
 #: Bands of at most so many bits have large buckets, which are compared in blocks; members of a block at most, comparisons of a
-#: task and bytes of its blocks at about most, and comparisons and pairs at a time.
-BLOCK_WIDTH, BLOCK, TASK_WORK, TASK_BYTES, SLAB, FLUSH = 8, 4096, 1 << 26, 32 << 20, 1 << 17, 1 << 16
+#: task, pairs that it returns and bytes of its blocks at about most, and comparisons and pairs at a time.
+BLOCK_WIDTH, BLOCK, TASK_WORK, TASK_ROWS, TASK_BYTES, SLAB, FLUSH = 8, 4096, 1 << 26, 1 << 20, 32 << 20, 1 << 17, 1 << 16
+#: A block of more members shows so many of them, or up to twice as many, to the count of tasks (the comparison takes all), and
+#: blocks that meet are cut into parts of about so much of a task's pairs.
+SHOWN, PARTS = 64, 4
 #: Comparisons that are worth a task while cores have fewer than so many tasks each: at a wide radius every sixth is a row.
 LEAST_WORK, CORE_TASKS = 1 << 22, 4
 
@@ -111,20 +114,14 @@ def blocks(members: DataFrame) -> DataFrame:
 
 def _block_join(left: DataFrame, members: DataFrame, radius: int, n: int, p: int) -> DataFrame:
     """Blocks of queries meet blocks of entries in the buckets that they look into. Blocks that meet are dealt out evenly, so a
-    large bucket's comparisons are shared; keys travel in the blocks, so pairs are joined with nothing afterwards."""
+    large bucket's comparisons are shared; keys travel in the blocks, so pairs are joined with nothing afterwards. A pair costs far
+    more than a comparison, and copies make every comparison a pair, so tasks are counted and blocks are cut by both: some members
+    of the blocks that meet tell about how many pairs there are. That decides how the work is dealt out, and nothing else."""
     width = codes.check_bands(n)
     q = cut(blocks(bands(left.toDF("key", "content_code"), n))).toDF("band_index", "own", "query_keys", "query_codes")
     q = q.withColumn("mask", F.explode(_masks(width, p))).withColumn("band_value", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask")
     e = cut(blocks(members))
 
-    def load(df: DataFrame, keys: str, as_: str) -> DataFrame:
-        long = F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a + 16 + F.coalesce(F.length(k), F.lit(0)))
-        return df.groupBy("band_index", "band_value").agg(F.count("*").alias(f"{as_}_blocks"), F.sum(F.size(keys).cast("double")).alias(as_), F.sum(long.cast("double")).alias(f"{as_}_bytes"))
-
-    met = load(q, "query_keys", "q").join(load(e, "keys", "e"), ["band_index", "band_value"])
-    work = met.agg(F.sum(F.col("q") * F.col("e")), F.sum(F.col("q_bytes") * F.col("e_blocks") + F.col("e_bytes") * F.col("q_blocks"))).first()
-    cores = left.sparkSession.sparkContext.defaultParallelism
-    tasks = int(max((work[0] or 0) / TASK_WORK, (work[1] or 0) / TASK_BYTES, min((work[0] or 0) / LEAST_WORK, CORE_TASKS * cores))) + 1
     low = [(64 - width * (i + 1), (1 << width) - 1) for i in range(n)]
     schema = T.StructType([T.StructField("query_key", T.StringType()), T.StructField("key", T.StringType()), T.StructField("query_code", T.LongType()), T.StructField("content_code", T.LongType()), T.StructField("distance", T.IntegerType())])
 
@@ -161,7 +158,36 @@ def _block_join(left: DataFrame, members: DataFrame, radius: int, n: int, p: int
                     i, j = pa.array(i), pa.array(j)
                     yield pa.RecordBatch.from_arrays([a_keys.take(i), b_keys.take(j), a.take(i), b.take(j), pa.array(d.astype(np.int32))], names=schema.names)
 
-    both = q.join(e.hint("merge"), ["band_index", "band_value"]).select("band_index", "query_keys", "query_codes", "keys", "codes")
+    def shown(df: DataFrame, keys: str, members: str, as_: str) -> DataFrame:
+        long = F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a + 16 + F.coalesce(F.length(k), F.lit(0)))
+        some = F.filter(members, lambda _, i: i % F.greatest(F.lit(1), F.floor(F.size(members) / SHOWN)) == 0)
+        return df.select("band_index", "band_value", F.size(keys).cast("double").alias(as_), long.cast("double").alias(f"{as_}_bytes"), some.alias(f"{as_}_some"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = tuple(np.empty(max(SLAB, BLOCK), kind) for kind in (np.uint64, np.uint8, bool))
+        for batch in batches:
+            work, share = batch.column(2).to_numpy(), np.zeros(batch.num_rows)
+            for r in range(batch.num_rows):
+                a, b = (batch.column(i)[r].values.to_numpy().view(np.uint64) for i in (4, 5))
+                share[r] = sum(len(d) for _, _, d in within(batch.column(0)[r].as_py(), a, b, space)) / (len(a) * len(b))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(share)], names=["band_index", "band_value", "work", "bytes", "share"])
+
+    bucket = ["band_index", "band_value"]
+    met = shown(q, "query_keys", "query_codes", "q").join(shown(e, "keys", "codes", "e").hint("merge"), bucket)
+    met = met.select(*bucket, (F.col("q") * F.col("e")).alias("work"), (F.col("q_bytes") + F.col("e_bytes")).alias("bytes"), "q_some", "e_some")
+    met = met.mapInArrow(measure, "band_index int, band_value long, work double, bytes double, share double")
+    most = F.max(F.when(F.col("work") > TASK_ROWS / PARTS, F.col("share")).otherwise(0.0))  # fewer comparisons need no cut
+    load = met.groupBy(*bucket).agg(F.sum("work"), F.sum("bytes"), F.sum(F.col("work") * F.col("share")), most).collect()  # BLOCK_WIDTH: 2,048 buckets at most
+    work, size, pairs = (sum(r[i] for r in load) for i in (2, 3, 4))
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    tasks = int(max(work / TASK_WORK, pairs / TASK_ROWS, size / TASK_BYTES, min(work / LEAST_WORK, CORE_TASKS * cores))) + 1
+
+    shares = left.sparkSession.createDataFrame([(r[0], r[1], r[5]) for r in load], "band_index int, band_value long, share double")
+    both = q.join(e.hint("merge"), bucket).join(F.broadcast(shares), bucket)
+    parts = F.ceil(F.size("query_keys").cast("double") * F.size("keys") * F.col("share") * PARTS / TASK_ROWS)
+    both = both.withColumn("long", F.ceil(F.size("query_keys") / F.greatest(F.lit(1), parts)).cast("int"))
+    both = both.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("query_keys"), F.col("long"))))
+    both = both.select("band_index", F.slice("query_keys", F.col("at"), F.col("long")), F.slice("query_codes", F.col("at"), F.col("long")), "keys", "codes")
     return both.repartition(tasks).mapInArrow(compare, schema)
 
 

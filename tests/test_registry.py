@@ -323,3 +323,19 @@ def test_comparisons_are_dealt_to_all_cores(spark, radius, probe):
     share = [F.bit_count(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))) <= probe for i in range(8)]
     want = rows.toDF("query_key", "query_code").crossJoin(rows).filter(F.greatest(*share) & (F.bit_count(x) <= radius))
     assert sum(sizes) == want.count() and len(sizes) >= 3 and max(sizes) < 0.7 * sum(sizes)
+
+
+@pytest.mark.parametrize(("kinds", "radius", "probe"), [(4, 24, 0), (1, 2, 0), (1, 15, 1)])
+def test_a_task_returns_few_pairs(spark, monkeypatch, kinds, radius, probe):
+    """banded_pairs_p0: pairs cost more than comparisons, so tasks are counted and blocks are cut by pairs too; also where copies of
+    one code are a whole block, and each comparison in their first band is a pair."""
+    monkeypatch.setattr(similar, "LEAST_WORK", 1 << 60)  # not by cores
+    code = sum(F.shiftleft(F.shiftright(F.xxhash64(F.col("id") % (2000 if kinds > 1 else 1)), 2 * i).bitwiseAND(F.lit(kinds - 1)), 8 * i) for i in range(8))
+    rows = spark.range(2400).select(F.concat(F.lit("k"), "id").alias("key"), code.alias("content_code"))
+    df = similar.hamming_join(rows.toDF("query_key", "query_code"), rows, radius, probe=probe)
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    x = F.col("query_code").bitwiseXOR(F.col("content_code"))
+    share = [F.bit_count(F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))) <= probe for i in range(8)]
+    want = rows.toDF("query_key", "query_code").crossJoin(rows).filter(F.greatest(*share) & (F.bit_count(x) <= radius)).count()
+    assert sum(sizes) == want > 4_000_000 and max(sizes) < 2_500_000
+    assert df.distinct().count() == want
